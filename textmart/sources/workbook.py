@@ -1,0 +1,34 @@
+"""Spreadsheet workbooks: Spark hands whole files to tasks, a decoder turns each into text rows."""
+
+from __future__ import annotations
+
+import io
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+def decode_excel(content: bytes) -> pd.DataFrame:
+    """The first sheet, all cells as text. Needs openpyxl, which is optional."""
+    return pd.read_excel(io.BytesIO(content), dtype=str, engine="openpyxl")
+
+
+def read_workbooks(spark: SparkSession, paths: Sequence[str], schema: T.StructType,
+                   decode: Callable[[bytes], pd.DataFrame] = decode_excel) -> DataFrame:
+    """Rows of all workbooks with the text columns of `schema`; absent columns are null.
+
+    A sheet has at most about a million rows, so each fits a task; files are decoded in parallel.
+    """
+    names = schema.names
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                sheet = decode(content).reindex(columns=names)
+                yield sheet.astype(object).where(sheet.notna(), None)
+
+    files = spark.read.format("binaryFile").load(list(paths)).select("content")
+    text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return files.repartition(len(paths)).mapInPandas(rows, text_schema)

@@ -1,0 +1,5 @@
+"""Nothing is built here: the work this library covers is batch only.
+
+The column functions in ``textmart.functions`` and the labels in ``textmart.operators.classify``
+are plain expressions, so they can be applied to a streaming DataFrame as they are.
+"""
