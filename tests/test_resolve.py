@@ -1,0 +1,65 @@
+import pytest
+
+from textmart.operators import resolve
+
+ROSTER = "term long, name string, grp string, label string"
+MENTION = "name string, grp string, term long"
+
+
+def test_unique_mapping(spark):
+    df = spark.createDataFrame([("a", "p"), ("a", "p"), ("b", "p"), ("b", "q"), ("c", None), ("d", None), ("d", "p")],
+                               "g string, p string")
+    assert sorted(r.g for r in resolve.unique_mapping(df, "g", "p").collect()) == ["a", "c"]
+
+
+def test_fuzzy_pairs_are_those_within_one_edit(spark):
+    left = spark.createDataFrame([(1, "anna"), (1, "bob"), (2, "anna"), (1, None), (1, "")], "b int, k string")
+    right = spark.createDataFrame([(1, "anna"), (1, "ana"), (1, "hanna"), (1, "onna"), (1, "an"), (2, "bob"), (1, "x")],
+                                  "b int, k string")
+    got = {tuple(r) for r in resolve.fuzzy_pairs(left, right, ["b"], "k").collect()}
+    assert got == {(1, "anna", "anna", 0), (1, "anna", "ana", 1), (1, "anna", "hanna", 1), (1, "anna", "onna", 1), (1, "", "x", 1)}
+
+
+@pytest.fixture()
+def tables(spark):
+    roster = spark.createDataFrame([
+        (10, "ali omar", "one", "P1"), (10, "sara zaki", "one", "P1"), (11, "ali omar", "one", "P1"),
+        (10, "omar hadi", "two", "P2"), (10, "hady omar", "two", "P3"), (10, "huda nur", "two", "P2"),
+        (10, "free man", "sans_groupe", "P4"), (11, "only eleven", "two", "P2"), (10, "no label", "two", None),
+    ], ROSTER)
+    mentions = spark.createDataFrame([
+        ("anyone", "one", 10),            # the group has one party
+        ("anyone", "one", 12),            # not in this term
+        ("hadi omar", "two", 10),         # word order; exact, and another one edit away
+        ("huda nurr", "two", 10),         # one edit
+        ("huda nurrr", "two", 10),        # two edits
+        ("free men", "three", 10),        # one edit, a member without group
+        ("free man", None, 10),
+        ("only eleven", "two", 10),       # other term
+        ("no label", "two", 10),
+        ("fixed name", "two", 10),
+    ], MENTION)
+    return mentions, roster
+
+
+def test_resolve(tables):
+    got = {(r["name"], r["grp"], r["term"]): (r["label"], r["method"], r["candidates"])
+           for r in resolve.resolve_labels(*tables, overrides={"fixed name": "PX"}).collect()}
+    assert got == {
+        ("anyone", "one", 10): ("P1", "group", 0), ("anyone", "one", 12): (None, None, 0),
+        ("hadi omar", "two", 10): ("P2", "name", 2), ("huda nurr", "two", 10): ("P2", "name", 1),
+        ("huda nurrr", "two", 10): (None, None, 0), ("free men", "three", 10): ("P4", "name", 1),
+        ("free man", None, 10): ("P4", "name", 1), ("only eleven", "two", 10): (None, None, 0),
+        ("no label", "two", 10): (None, None, 0), ("fixed name", "two", 10): ("PX", "override", 0),
+    }
+
+
+def test_resolve_all_candidates(tables):
+    rows = resolve.resolve_labels(*tables, ambiguous="all").where("name = 'hadi omar'").collect()
+    assert sorted(r.label for r in rows) == ["P2", "P3"] and {r.candidates for r in rows} == {2}
+
+
+def test_arabic_spellings_resolve(spark):
+    roster = spark.createDataFrame([(10, "عبد الله بوانو", "g", "P1"), (10, "مريم", "g", "P2")], ROSTER)
+    mentions = spark.createDataFrame([("بوانو عبدالله", "g", 10)], MENTION)
+    assert resolve.resolve_labels(mentions, roster).first().label == "P1"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import Column, DataFrame
@@ -49,25 +49,37 @@ def ngram_frequency(df: DataFrame, words: Column, size: int = fixed.NGRAM_SIZE)
     )
 
 
-def _document_count(df: DataFrame, words: Column) -> Column:
-    return df.where(words.isNotNull()).agg(F.count(F.lit(1))).scalar()
+def _document_terms(df: DataFrame, keep: Sequence[str], words: Column) -> DataFrame:
+    """Each document's terms with their frequency, and one row with a null term: (*keep, term, tf).
 
+    Sorting a document's words puts equal ones side by side, so its terms are the runs of that
+    array: no shuffle of words is needed to count them. The null term counts documents.
+    """
+    w, starts = F.col("_words"), F.col("_starts")
+    run_starts = F.filter(
+        F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+
+    def run(i: Column, nth: Column) -> Column:
+        end = F.coalesce(F.get(starts, nth + 1), F.size(w))
+        return F.struct(F.get(w, i).alias("term"), (end - i).alias("tf"))
+
+    document = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("tf")))
+    return (
+        df.select(*keep, F.sort_array(words).alias("_words"))
+        .select("*", F.when(F.size(w) > 0, run_starts).when(F.size(w) == 0, F.array().cast("array<int>")).alias("_starts"))
+        .select(*keep, F.inline(F.concat(document, F.transform(starts, run))))
+    )
 
-def _idf(documents: Column, containing: Column) -> Column:
-    return F.log((documents + 1) / (containing + 1))
 
+def _frequencies(terms: DataFrame) -> DataFrame:
+    """Per term, its occurrences and the documents it is in; at rest."""
+    return materialize(terms.groupBy("term").agg(
+        F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("documents")), "term-frequencies")
 
-def _term_totals(df: DataFrame, words: Column) -> DataFrame:
-    """Per term, its occurrences and the documents it occurs in.
 
-    Sorting a document's words puts equal ones side by side, so the first of each run marks one
-    document: no shuffle of (document, term) rows is needed.
-    """
-    runs = df.select(F.sort_array(words).alias("words")).select(
-        F.posexplode("words").alias("pos", "term"), "words")
-    first = (F.col("pos") == 0) | (F.col("term") != F.get("words", F.col("pos") - 1))
-    return runs.select("term", first.cast("int").alias("first")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("occurrences"), F.sum("first").alias("documents"))
+def _idf(frequencies: DataFrame) -> Column:
+    documents = frequencies.where("term is null").select("documents").scalar()
+    return F.log((documents + 1) / (F.col("documents") + 1))
 
 
 def tfidf_ranking(df: DataFrame, words: Column) -> DataFrame:
@@ -75,20 +87,18 @@ def tfidf_ranking(df: DataFrame, words: Column) -> DataFrame:
 
     A term has one idf, so the sum is its number of occurrences times its idf.
     """
-    documents = _document_count(df, words)
-    return _term_totals(df, words).select(
-        "term", (F.col("occurrences") * _idf(documents, F.col("documents"))).alias("score"))
+    frequencies = _frequencies(_document_terms(df, [], words))
+    return frequencies.where("term is not null").select(
+        "term", (F.col("occurrences") * _idf(frequencies)).alias("score"))
 
 
 def tfidf_terms(df: DataFrame, id_col: str, words: Column) -> DataFrame:
     """Each document's terms: (id, term, tf, score)."""
-    counted = materialize(
-        df.select(id_col, F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")),
-        "term-counts")
-    frequency = materialize(counted.groupBy("term").agg(F.count(F.lit(1)).alias("documents")), "term-documents")
-    total = _document_count(df, words)
-    return join_weighted(counted, frequency, "term", "documents").select(
-        id_col, "term", "tf", (F.col("tf") * _idf(total, F.col("documents"))).alias("score"))
+    terms = materialize(_document_terms(df, [id_col], words), "document-terms")
+    frequencies = _frequencies(terms)
+    scored = frequencies.where("term is not null").select("term", "documents", _idf(frequencies).alias("idf"))
+    return join_weighted(terms.where("term is not null"), scored, "term", "documents").select(
+        id_col, "term", "tf", (F.col("tf") * F.col("idf")).alias("score"))
 
 
 def hashed_tfidf(df: DataFrame, words: Column, buckets: int = fixed.HASH_BUCKETS) -> DataFrame:

@@ -13,10 +13,10 @@ BROADCAST_ROWS = 100_000
 HOT_KEYS = 10_000
 
 
-def hot_part(weighted: DataFrame, weight: str, keys: int = HOT_KEYS) -> DataFrame:
-    """The rows whose weight is above 1/keys of the total: fewer than `keys` rows by construction."""
+def hot_part(weighted: DataFrame, weight: str, keys: int | None = None) -> DataFrame:
+    """The rows whose weight is above 1/keys of the total: fewer than `keys` (HOT_KEYS) by construction."""
     total = weighted.agg(F.sum(weight)).scalar()
-    return weighted.where(F.col(weight) * keys > total)
+    return weighted.where(F.col(weight) * (keys or HOT_KEYS) > total)
 
 
 def join_weighted(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:

@@ -10,18 +10,17 @@ from pyspark.sql import functions as F
 
 from textmart.operators.ids import assign_ids
 from textmart.operators.joins import lookup
-from textmart.sources.tables import materialize
 
 
 def build_dim(df: DataFrame, columns: Sequence[str], id_col: str, null_keys: bool = True) -> DataFrame:
-    """One row per distinct value of `columns`, numbered in their order, kept at rest.
+    """One row per distinct value of `columns`, numbered in their order.
 
     Without `null_keys`, rows in which all columns are null get no entry.
     """
     values = df.select(*columns).distinct()
     if not null_keys:
         values = values.na.drop("all")
-    return materialize(assign_ids(values, columns, id_col), id_col)
+    return assign_ids(values, columns, id_col)
 
 
 @dataclass(frozen=True)

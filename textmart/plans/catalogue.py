@@ -363,7 +363,7 @@ def tfidf_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = frequency.tfidf_terms(documents(spark, sf_dir, "text"), "doc_id", _report_words())
-    return terms.select("doc_id", "term", "tf", F.round("score", 4).alias("score"))
+    return terms.select("doc_id", "term", F.col("tf").cast("long").alias("tf"), F.round("score", 4).alias("score"))
 
 
 def tfidf_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
