@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    if schema is None:
+        return spark.read.parquet(path)
+    # Partition columns come back last unless selected in order.
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def shared_dir(spark: SparkSession) -> str:
