@@ -55,7 +55,7 @@ def test_lookup_is_a_plain_join_whatever_its_form(skewed, monkeypatch, how, null
     same = rows["k"].eqNullSafe(table["k"]) if null_safe else rows["k"] == table["k"]
     expected = sorted(tuple(r) for r in rows.join(table, same, how).select("row", rows["k"], "v").fillna(-9).collect())
     monkeypatch.setattr(joins, "HOT_KEYS", 20)
-    for limit in (10_000, 100):
+    for limit in (10_000, 100):  # broadcast, salted
         got = joins.lookup(rows, table, ["k"], how, null_safe, broadcast_rows=limit)
         assert sorted(tuple(r) for r in got.fillna(-9).collect()) == expected
 

@@ -85,12 +85,12 @@ def remove_stop_words(words: Column, stop_words: Iterable[str], ignore_case: boo
 
 def ngram_prefixes(words: Column, size: int = fixed.NGRAM_SIZE) -> Column:
     """For every full window of `size` words, its prefixes of 1 to `size` words, joined by a space."""
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1)))
-    windows = F.transform(
-        starts,
-        lambda i: F.array(*[F.array_join(F.slice(words, i, n), " ") for n in range(1, size + 1)]),
-    )
-    return F.flatten(windows)
+    def prefixes(first: Column, at: Column) -> Column:
+        window = [first, *[F.get(words, at + i) for i in range(1, size)]]
+        return F.array(first, *[F.concat_ws(" ", *window[:n]) for n in range(2, size + 1)])
+
+    starts = F.slice(words, F.lit(1), F.size(words) - (size - 1))
+    return F.when(F.size(words) >= size, F.flatten(F.transform(starts, prefixes)))
 
 
 def one_edit_variants(text: Column) -> Column:

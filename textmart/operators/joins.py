@@ -11,6 +11,7 @@ from textmart.sources.tables import fits
 
 BROADCAST_ROWS = 100_000
 HOT_KEYS = 10_000
+SALTS = 200
 
 
 def hot_part(weighted: DataFrame, weight: str, keys: int | None = None) -> DataFrame:
@@ -33,28 +34,33 @@ def join_weighted(rows: DataFrame, table: DataFrame, key: str, weight: str) -> D
     return frequent.unionByName(others)
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left",
-           null_safe: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", null_safe: bool = False,
+           broadcast_rows: int = BROADCAST_ROWS, counted_on: DataFrame | None = None) -> DataFrame:
     """Add the columns of `table`, which is at rest and has few rows per key, to `rows`.
 
-    A table of at most `broadcast_rows` rows is broadcast. A larger one is shuffled; then the keys
-    with more than 1/HOT_KEYS of the rows are looked up in a broadcast of just those keys, so no
-    shuffled key holds more than that share. With `null_safe`, null keys match null keys.
+    A table of at most `broadcast_rows` rows is broadcast. A larger one is shuffled, and the keys
+    with more than 1/HOT_KEYS of the rows are salted: their rows are dealt out over SALTS shares,
+    and their few table rows are repeated for each share. With `null_safe`, null keys match null
+    keys. `counted_on` is a cheaper DataFrame to count the keys on, if `rows` takes work to compute.
     """
     keys = list(on)
     extra = [c for c in table.columns if c not in keys]
     table = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *extra)
-
     matches = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) if null_safe else F.col(k) == F.col(f"_k_{k}")
                for k in keys]
     if fits(table, broadcast_rows):
-        joined = rows.join(F.broadcast(table), matches, how)
-        return joined.select(*rows.columns, *extra)
-
-    hot = F.broadcast(hot_part(rows.groupBy(*keys).count(), "count").select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
-    is_hot = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    table_is_hot = [F.col(f"_k_{k}").eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    frequent = rows.join(hot, is_hot, "left_semi").join(
-        F.broadcast(table.join(hot, table_is_hot, "left_semi")), matches, how)
-    others = rows.join(hot, is_hot, "left_anti").join(table, matches, how)
-    return frequent.unionByName(others).select(*rows.columns, *extra)
+        return rows.join(F.broadcast(table), matches, how).select(*rows.columns, *extra)
+
+    counts = (rows if counted_on is None else counted_on).groupBy(*keys).count()
+    hot = F.broadcast(
+        hot_part(counts, "count").select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot")))
+
+    def with_share(df: DataFrame, prefix: str, name: str, share_of_hot) -> DataFrame:
+        same = [F.col(f"{prefix}{k}").eqNullSafe(F.col(f"_h_{k}")) for k in keys]
+        share = F.when(F.col("_hot"), share_of_hot(df)).otherwise(F.array(F.lit(0)))
+        return df.join(hot, same, "left").select(*df.columns, F.explode(share).alias(name))
+
+    dealt = with_share(rows, "", "_share", lambda df: F.array(F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")))
+    repeated = with_share(table, "_k_", "_k_share", lambda df: F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    matches.append(F.col("_share") == F.col("_k_share"))
+    return dealt.join(repeated, matches, how).select(*rows.columns, *extra)

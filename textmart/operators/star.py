@@ -36,10 +36,11 @@ class Dimension:
 
 def star_join(fact: DataFrame, dimensions: Sequence[Dimension]) -> DataFrame:
     """Add each dimension's `columns` to the facts."""
+    joined = fact
     for dim in dimensions:
         table = dim.table.select(*[F.col(d).alias(f) for f, d in dim.keys.items()], *dim.columns)
-        fact = lookup(fact, table, list(dim.keys), dim.how, dim.null_safe)
-    return fact
+        joined = lookup(joined, table, list(dim.keys), dim.how, dim.null_safe, counted_on=fact)
+    return joined
 
 
 def explode_members(df: DataFrame, column: str, members: Column) -> DataFrame:
