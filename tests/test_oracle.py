@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from textmart.operators import joins
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,13 @@ def test_query(spark, con, sf_dir, name):
     assert check.compare(spark, con, name, sf_dir).startswith("equal" if name in entry.oracle_sql() else "rows only")
 
 
+@pytest.mark.parametrize("name", ["fact_build", "dim_member", "party_resolve", "dup_flags", "dup_groups"])
+def test_query_when_no_table_is_small_enough_to_broadcast(spark, con, sf_dir, name, monkeypatch):
+    monkeypatch.setattr(joins, "fits", lambda table, rows: False)
+    monkeypatch.setattr(joins, "HOT_KEYS", 50)
+    assert check.compare(spark, con, name, sf_dir).startswith("equal")
+
+
 def test_every_query_but_one_has_sql():
     assert set(entry.queries()) - set(entry.oracle_sql()) == {"tfidf_hashed"}
 
