@@ -35,6 +35,11 @@ def test_ngrams_skip_short_texts_and_last_starts(docs):
     assert "house" not in got and "end" not in got
 
 
+def test_ngram_words_are_not_blank(value):
+    text = "a \xa0 b\xa0c \u2003 12. d"
+    assert value(frequency.ngram_words(F.col("t"), ["d"]), "t string", text) == ["a", "b\xa0c"]
+
+
 def test_tfidf(docs):
     texts = [t for t in TEXTS if t is not None]
     tf = [Counter(words_of(t)) for t in texts]

@@ -122,6 +122,16 @@ def test_duplicates(tables):
     assert str(question) not in listed.split(", ") and len(listed.split(", ")) == 2
 
 
+def test_duplicate_questions(tables):
+    similar = tables["duplicate_questions_lhs"]
+    assert similar.columns == [*tables["question_fact"].columns, "similar_question_id", "JaccardDistance"]
+    assert {r.JaccardDistance for r in similar.collect()} == {0.0}
+    per_question = similar.groupBy("question_type", "question_number").count().collect()
+    # Two facts with two similar questions each, or one with one.
+    assert {(r[0], r[1]): r[2] for r in per_question} == {
+        ("oral", 1): 4, ("oral", 3): 4, ("written", 1): 4, ("oral", 2): 1, ("written", 2): 1}
+
+
 def test_null_dimension_members(spark):
     df = spark.createDataFrame([("a",), (None,), ("a",)], "k string")
     assert rows(star.build_dim(df, ["k"], "id"), "id", "k") == [(1, None), (2, "a")]

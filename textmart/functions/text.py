@@ -11,6 +11,9 @@ from textmart.functions import fixed_values as fixed
 
 Rules = Sequence[tuple[str, str]]
 
+# Whitespace that \s in a pattern does not match.
+SPACES = " \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def apply_rules(text: Column, rules: Rules) -> Column:
     """Replace each (pattern, replacement) in order."""

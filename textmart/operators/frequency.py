@@ -36,7 +36,7 @@ def word_frequency(df: DataFrame, words: Column, stop_words: Iterable[str] = ())
 def ngram_words(text: Column, stop_words: Iterable[str] = ()) -> Column:
     """The words the n-gram report counts; stop words are left out in their exact spelling."""
     cleaned = tx.clean_text(text, fixed.CLEAN_NGRAM, tidy=True)
-    words = F.filter(F.split(cleaned, " "), lambda w: w != "")
+    words = F.filter(F.split(cleaned, " "), lambda w: F.trim(w, F.lit(tx.SPACES)) != "")
     return tx.remove_stop_words(words, stop_words, ignore_case=False)
 
 

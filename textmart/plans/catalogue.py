@@ -395,6 +395,12 @@ def neardup_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_pairs(_near(spark, sf_dir, fixed.HASH_TABLES))
 
 
+def neardup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    similar = neardup.similar_rows(_near(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(similar, "doc_id").select(
+        "doc_id", "lang", "source", "similar_id", F.round("distance", 6).alias("distance"))
+
+
 def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_lists(_near(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), "duplicate_ids", "duplicate_count")
@@ -447,6 +453,7 @@ QUERIES: dict[str, Query] = {
     "minhash_signatures": minhash_signatures,
     "neardup_exact": neardup_exact,
     "neardup_minhash": neardup_minhash,
+    "neardup_rows": neardup_rows,
     "dup_groups": dup_groups,
     "dup_flags": dup_flags,
 }

@@ -65,8 +65,7 @@ def roster(elected: DataFrame, terms: Mapping[str, int] = fixed.TERMS) -> DataFr
     term = F.lit(last)
     for period, number in terms.items():
         term = F.when(F.col("parlement") == period, number).otherwise(term)
-    group = F.when(F.col("groupeAR") == fixed.NO_GROUP, F.col("groupeAR")).otherwise(
-        tx.normalize_label(F.col("groupeAR")))
+    group = tx.normalize_label(F.col("groupeAR"))
     return elected.where(F.col("parlement").isin(list(terms))).select(
         term.cast("long").alias("term"), F.col("prenomNomAR").alias("name"), group.alias("grp"), F.col("parti").alias("label"))
 
@@ -205,6 +204,14 @@ def find_duplicates(facts: DataFrame, max_distance: float = fixed.MAX_DISTANCE,
     return neardup.near_duplicates(texts, "question_id", F.col("question_content"), max_distance, hash_tables)
 
 
+def duplicate_questions(facts: DataFrame, found: neardup.NearDuplicates, list_up_to: int = 1000) -> DataFrame:
+    """Each fact once per near duplicate of its question: its columns, similar_question_id, JaccardDistance."""
+    similar = neardup.similar_rows(found, list_up_to).select(
+        F.col("id").alias("question_id"), F.col("similar_id").alias("similar_question_id"),
+        F.col("distance").alias("JaccardDistance"))
+    return facts.join(similar, "question_id").select(*facts.columns, "similar_question_id", "JaccardDistance")
+
+
 def flag_facts(facts: DataFrame, found: neardup.NearDuplicates, list_up_to: int = 1000) -> DataFrame:
     """The facts with duplicate_question_ids, duplicate_question_count and is_duplicate."""
     lists = materialize(neardup.duplicate_lists(found, list_up_to).select(
@@ -225,6 +232,8 @@ class Inputs:
     ministries: Mapping[object, classify.Keywords]
     stop_words: Sequence[str] = field(default_factory=list)
     date_formats: Sequence[str] = field(default_factory=list)
+    # Characters the word reports drop; CLEAN_REPORT_WIDE is the unescaped range.
+    report_cleaner: str = fixed.CLEAN_REPORT
 
 
 def run(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFrame]:
@@ -248,13 +257,15 @@ def run(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFrame]:
                         ("ministry_dim", dims.ministry), ("session_dim", dims.session)):
         keep(name, table)
     facts = keep("question_fact", build_facts(classified, dims), ["legislation_id"])
-    keep("content_words", word_report(facts, "question_content", inputs.stop_words, fixed.TOP_CONTENT_WORDS))
-    keep("subject_words", word_report(facts, "question_subject", inputs.stop_words, fixed.TOP_SUBJECT_WORDS))
-    keep("content_tfidf", tfidf_report(facts, inputs.stop_words))
+    drop = inputs.report_cleaner
+    keep("content_words", word_report(facts, "question_content", inputs.stop_words, fixed.TOP_CONTENT_WORDS, drop))
+    keep("subject_words", word_report(facts, "question_subject", inputs.stop_words, fixed.TOP_SUBJECT_WORDS, drop))
+    keep("content_tfidf", tfidf_report(facts, inputs.stop_words, drop))
     keep("content_ngrams", ngram_report(facts, inputs.stop_words))
     found = find_duplicates(facts)
     keep("duplicate_sets", found.sets)
     keep("duplicate_members", found.members)
-    keep("duplicate_questions_lhs", neardup.set_pairs(found))
+    keep("duplicate_set_pairs", neardup.set_pairs(found))
+    keep("duplicate_questions_lhs", duplicate_questions(facts, found))
     keep("question_fact_duplicates", flag_facts(facts, found), ["legislation_id"])
     return tables

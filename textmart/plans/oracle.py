@@ -313,6 +313,9 @@ SQL: dict[str, str] = {
     "neardup_minhash": f"""WITH {SETS}, {_pairs("sets", "set_id")},
         signed AS (SELECT set_id, {SIGNATURE} FROM sets)
         {SET_PAIRS.format(agree=AGREE).replace("ON b = sb.set_id", "ON b = sb.set_id JOIN signed ha ON a = ha.set_id JOIN signed hb ON b = hb.set_id")}""",
+    "neardup_rows": f"""WITH {WORD_SETS}, {_pairs("docs", "doc_id")}
+        SELECT a AS doc_id, lang, source, b AS similar_id, round(distance, 6) AS distance
+        FROM pairs JOIN documents ON a = doc_id""",
     "dup_groups": f"{DUPLICATES} SELECT doc_id, ids AS duplicate_ids, n AS duplicate_count FROM found",
     "dup_flags": f"""{DUPLICATES} SELECT d.doc_id, d.lang, d.source, coalesce(n, 0) AS duplicate_count,
         CASE WHEN n IS NULL THEN 0 ELSE 1 END AS is_duplicate FROM documents d LEFT JOIN found ON d.doc_id = found.doc_id""",
