@@ -102,6 +102,20 @@ def test_materialize_uses_the_session_folder(spark):
     assert tables.materialize(spark.range(0), "x").count() == 0
 
 
+@pytest.mark.parametrize("master", ["local[2]", "spark://host:1"])
+def test_without_a_shared_folder(master, tmp_path):
+    from types import SimpleNamespace
+
+    found = []
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: found[-1] if found else None, setCheckpointDir=found.append)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    if master.startswith("local"):
+        assert tables.shared_dir(session) == tables.shared_dir(session) == found[0] and len(found) == 1
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.shared_dir(session)
+
+
 def test_spread_leaves_many_splits_alone(spark):
     df = spark.range(0, 100, 1, 64)
     assert tables.spread(df, "id") is df

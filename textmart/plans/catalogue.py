@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -187,6 +188,24 @@ def ingest_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.ingest_files(spark, groups, UNION_SCHEMA, aliases=UNION_ALIASES, required=["content", "id"])
 
 
+def ingest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts, written as Parquet, JSON and CSV files with a manifest that lists them."""
+    folder = f"{tables.shared_dir(spark)}/sources-{spark.sparkContext.applicationId}"
+    for name, kind in (("documents", "parquet"), ("conversations", "json"), ("benchmark", "csv")):
+        options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
+                   "ignoreTrailingWhiteSpace": False} if kind == "csv" else {}
+        table(spark, sf_dir, name).write.mode("overwrite").format(kind).options(**options).save(f"{folder}/{name}.{kind}")
+    listed = {
+        "texts": {"type": "long", "sources": ["documents.parquet"]},
+        "turns": {"type": "short", "sources": ["conversations.json"]},
+        "items": {"type": "short", "sources": ["benchmark.csv"]},
+    }
+    spark.createDataFrame([(json.dumps(listed, indent=1),)], "value string").coalesce(1).write.mode("overwrite").text(
+        f"{folder}/manifest")
+    groups = manifest.load_manifest(spark, f"{folder}/manifest", folder, {"kind": "type"})
+    return manifest.ingest_files(spark, groups, UNION_SCHEMA, aliases=UNION_ALIASES, required=["content", "id"])
+
+
 def clean_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir, "text").select("doc_id", tx.normalize_whitespace(F.col("text")).alias("cleaned"))
 
@@ -413,6 +432,7 @@ def dup_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "ingest_union": ingest_union,
+    "ingest_manifest": ingest_manifest,
     "clean_whitespace": clean_whitespace,
     "clean_text_a": _cleaned(fixed.CLEAN_REPORT),
     "clean_text_a_wide": _cleaned(fixed.CLEAN_REPORT_WIDE),

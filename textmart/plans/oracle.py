@@ -222,17 +222,23 @@ SELECT d.name, d.grp, d.term,
 FROM direct d LEFT JOIN found f ON d.name = f.name AND d.grp = f.grp AND d.term = f.term
 """
 
-SQL: dict[str, str] = {
-    "ingest_union": rf"""
+SPACED = (r"\\[tnr]|[\t\n\r]", " ")
+
+
+def _ingested(documents: str, conversations: str, benchmark: str) -> str:
+    cells = ", ".join(f"nullif({_replaced(c, SPACED)}, '-') AS {c}" for c in ("nature", "source", "content"))
+    return f"""
         WITH rows AS (
-            SELECT doc_id AS id, 'documents' AS kind, lang AS nature, source, text AS content FROM documents
-            UNION ALL SELECT conv_id, 'conversations', role, NULL, text FROM conversations
-            UNION ALL SELECT item_id, 'benchmark', NULL, NULL, text FROM benchmark)
-        SELECT id, kind, nullif({_replaced("nature", (r"\\[tnr]|[\t\n\r]", " "))}, '-') AS nature,
-               nullif({_replaced("source", (r"\\[tnr]|[\t\n\r]", " "))}, '-') AS source,
-               nullif({_replaced("content", (r"\\[tnr]|[\t\n\r]", " "))}, '-') AS content
-        FROM rows WHERE content IS NOT NULL AND id IS NOT NULL""",
-    "clean_whitespace": rf"""SELECT doc_id, {_replaced("text", (r"\\[tnr]|[\t\n\r]", " "))} AS cleaned FROM documents""",
+            SELECT doc_id AS id, {documents} AS kind, lang AS nature, source, text AS content FROM documents
+            UNION ALL SELECT conv_id, {conversations}, role, NULL, text FROM conversations
+            UNION ALL SELECT item_id, {benchmark}, NULL, NULL, text FROM benchmark)
+        SELECT id, kind, {cells} FROM rows WHERE content IS NOT NULL AND id IS NOT NULL"""
+
+
+SQL: dict[str, str] = {
+    "ingest_union": _ingested("'documents'", "'conversations'", "'benchmark'"),
+    "ingest_manifest": _ingested("'long'", "'short'", "'short'"),
+    "clean_whitespace": rf"""SELECT doc_id, {_replaced("text", SPACED)} AS cleaned FROM documents""",
     "clean_text_a": f"SELECT doc_id, {CLEAN_A} AS cleaned FROM documents",
     "clean_text_a_wide": f"SELECT doc_id, {CLEAN_WIDE} AS cleaned FROM documents",
     "clean_text_b": f"SELECT doc_id, {CLEAN_B} AS cleaned FROM documents",
