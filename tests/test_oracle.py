@@ -19,7 +19,7 @@ def test_query(spark, con, sf_dir, name):
 
 @pytest.mark.parametrize("name", ["fact_build", "dim_member", "party_resolve", "dup_flags", "dup_groups"])
 def test_query_when_no_table_is_small_enough_to_broadcast(spark, con, sf_dir, name, monkeypatch):
-    monkeypatch.setattr(joins, "fits", lambda table, rows: False)
+    monkeypatch.setattr(joins, "fits", lambda *_: False)
     monkeypatch.setattr(joins, "HOT_KEYS", 50)
     assert check.compare(spark, con, name, sf_dir).startswith("equal")
 

@@ -120,3 +120,9 @@ def test_spread_leaves_many_splits_alone(spark):
     df = spark.range(0, 100, 1, 64)
     assert tables.spread(df, "id") is df
     assert tables.spread(spark.range(0, 100, 1, 2), "id").rdd.getNumPartitions() == 16
+
+
+def test_fits_counts_rows_and_bytes(spark):
+    df = spark.range(10).select(F.repeat(F.lit("x"), 100).alias("t"))
+    assert tables.fits(df, 10, 10_000) and not tables.fits(df, 9, 10_000) and not tables.fits(df, 10, 1000)
+    assert tables.fits(df.where("false"), 0, 0)

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmart.sources.tables import fits
+from textmart.sources.tables import fits, materialize
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 10_000
 SALTS = 200
 
@@ -27,7 +28,7 @@ def join_weighted(rows: DataFrame, table: DataFrame, key: str, weight: str) -> D
     others are, and none of them has more than 1/HOT_KEYS of the rows. `rows` is read twice, so it
     should be cheap to read.
     """
-    hot = F.broadcast(hot_part(table, weight))
+    hot = F.broadcast(materialize(hot_part(table, weight), "hot-keys"))
     columns = rows.columns + [c for c in table.columns if c != key]
     frequent = rows.join(hot, key).select(*columns)
     others = rows.join(hot.select(key), key, "left_anti").join(table, key).select(*columns)
@@ -38,22 +39,23 @@ def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "lef
            broadcast_rows: int = BROADCAST_ROWS, counted_on: DataFrame | None = None) -> DataFrame:
     """Add the columns of `table`, which is at rest and has few rows per key, to `rows`.
 
-    A table of at most `broadcast_rows` rows is broadcast. A larger one is shuffled, and the keys
-    with more than 1/HOT_KEYS of the rows are salted: their rows are dealt out over SALTS shares,
-    and their few table rows are repeated for each share. With `null_safe`, null keys match null
-    keys. `counted_on` is a cheaper DataFrame to count the keys on, if `rows` takes work to compute.
+    A table of at most `broadcast_rows` rows and BROADCAST_BYTES is broadcast. A larger one is
+    shuffled, and the keys with more than 1/HOT_KEYS of the rows are salted: their rows are dealt
+    out over SALTS shares, and their few table rows are repeated for each share. With `null_safe`,
+    null keys match null keys. `counted_on` is a cheaper DataFrame to count the keys on, if `rows`
+    takes work to compute.
     """
     keys = list(on)
     extra = [c for c in table.columns if c not in keys]
     table = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *extra)
     matches = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) if null_safe else F.col(k) == F.col(f"_k_{k}")
                for k in keys]
-    if fits(table, broadcast_rows):
+    if fits(table, broadcast_rows, BROADCAST_BYTES):
         return rows.join(F.broadcast(table), matches, how).select(*rows.columns, *extra)
 
     counts = (rows if counted_on is None else counted_on).groupBy(*keys).count()
-    hot = F.broadcast(
-        hot_part(counts, "count").select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot")))
+    hot = hot_part(counts, "count").select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
+    hot = F.broadcast(materialize(hot, "hot-keys"))
 
     def with_share(df: DataFrame, prefix: str, name: str, share_of_hot) -> DataFrame:
         same = [F.col(f"{prefix}{k}").eqNullSafe(F.col(f"_h_{k}")) for k in keys]

@@ -63,6 +63,8 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether a table has at most `rows` rows; reads no more than that."""
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int, size: int) -> bool:
+    """Whether a table has at most `rows` rows and about `size` bytes; reads few rows more than that."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    count, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return count <= rows and (total or 0) <= size
