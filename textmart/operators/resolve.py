@@ -49,7 +49,8 @@ def fuzzy_labels(unresolved: DataFrame, roster: DataFrame, name_rules: tx.Rules
                  no_group: str = fixed.NO_GROUP) -> DataFrame:
     """Roster labels of similarly named members in the same term, and in the same group or in none.
 
-    (name, grp, term) against (term, name, grp, label) gives (name, grp, term, label, edits).
+    (name, grp, term) against (term, name, grp, label) gives (name, grp, term, label, edits), with the
+    fewest edits for each label.
     """
     keyed = unresolved.select(
         "name", "grp", "term", tx.comparison_key(F.col("name"), name_rules).alias("key"))
@@ -63,7 +64,8 @@ def fuzzy_labels(unresolved: DataFrame, roster: DataFrame, name_rules: tx.Rules
     by_none = keyed.join(anyone, ["term", "key"]).join(
         ungrouped.withColumnRenamed("key", "other_key"), ["term", "other_key"])
     wanted = ["name", "grp", "term", "label", "edits"]
-    return by_group.select(*wanted).unionByName(by_none.select(*wanted)).distinct()
+    return by_group.select(*wanted).unionByName(by_none.select(*wanted)).groupBy(*wanted[:-1]).agg(
+        F.min("edits").alias("edits"))
 
 
 def resolve_labels(mentions: DataFrame, roster: DataFrame, ambiguous: str = "best",
@@ -89,10 +91,10 @@ def resolve_labels(mentions: DataFrame, roster: DataFrame, ambiguous: str = "bes
     if ambiguous == "best":
         found = found.groupBy(*who).agg(
             F.min(F.struct("edits", "label"))["label"].alias("fuzzy_label"),
-            F.count_distinct("label").alias("candidates"))
+            F.count(F.lit(1)).alias("candidates"))
     else:
-        counts = found.groupBy(*who).agg(F.count_distinct("label").alias("candidates"))
-        found = found.select(*who, F.col("label").alias("fuzzy_label")).distinct().join(counts, who)
+        counts = found.groupBy(*who).agg(F.count(F.lit(1)).alias("candidates"))
+        found = found.select(*who, F.col("label").alias("fuzzy_label")).join(counts, who)
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"f.{c}")) for c in who]
     joined = direct.alias("d").join(found.alias("f"), same, "left")
     forced = _mapping(overrides, F.col("name"))
