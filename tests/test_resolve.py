@@ -57,6 +57,8 @@ def test_resolve(tables):
 def test_resolve_all_candidates(tables):
     rows = resolve.resolve_labels(*tables, ambiguous="all").where("name = 'hadi omar'").collect()
     assert sorted(r.label for r in rows) == ["P2", "P3"] and {r.candidates for r in rows} == {2}
+    ungrouped = resolve.resolve_labels(*tables, ambiguous="all").where("grp is null").collect()
+    assert [(r.label, r.candidates) for r in ungrouped] == [("P4", 1)]
 
 
 def test_arabic_spellings_resolve(spark):

@@ -23,6 +23,13 @@ def test_harmonize_renames_types_and_fills(spark):
     assert [tuple(r) for r in out.collect()] == [(1, "x", None), (None, "y", None)]
 
 
+def test_whole_numbers_in_text(spark):
+    schema = T.StructType([T.StructField("n", T.LongType())])
+    cells = ["12", "12.0", " 7 ", "12.5", "x", None, "9007199254740993"]
+    df = spark.createDataFrame([(c,) for c in cells], "n string")
+    assert [r.n for r in harmonize.harmonize(df, schema).collect()] == [12, 12, 7, None, None, None, 9007199254740993]
+
+
 @pytest.fixture()
 def question_files(spark, tmp_path):
     oral = pd.DataFrame({

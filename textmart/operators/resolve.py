@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmart.functions import fixed_values as fixed
@@ -93,8 +93,9 @@ def resolve_labels(mentions: DataFrame, roster: DataFrame, ambiguous: str = "bes
             F.min(F.struct("edits", "label"))["label"].alias("fuzzy_label"),
             F.count(F.lit(1)).alias("candidates"))
     else:
-        counts = found.groupBy(*who).agg(F.count(F.lit(1)).alias("candidates"))
-        found = found.select(*who, F.col("label").alias("fuzzy_label")).join(counts, who)
+        found = found.select(
+            *who, F.col("label").alias("fuzzy_label"),
+            F.count(F.lit(1)).over(Window.partitionBy(*who)).alias("candidates"))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"f.{c}")) for c in who]
     joined = direct.alias("d").join(found.alias("f"), same, "left")
     forced = _mapping(overrides, F.col("name"))

@@ -75,33 +75,29 @@ def _day(column: Column) -> Column:
     return F.date_format(column, "yyyy-MM-dd")
 
 
-# --- questions derived from orders: one per order, suppliers of its lines as members ---
+# --- questions derived from orders: one per order, its customer and a supplier as members ---
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    lines = (
-        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate")
-        .join(supplier, "l_suppkey")
-        .groupBy("l_orderkey")
-        .agg(F.sort_array(F.collect_set("s_name")).alias("members"), F.min("l_shipdate").alias("shipped"))
-    )
-    orders = table(spark, sf_dir, "orders")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("shipped"))
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    asked = F.col("o_orderdate")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     joined = (
-        orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"])
+        table(spark, sf_dir, "orders").drop("o_totalprice")
+        .join(shipped, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(supplier, F.col("c_nationkey") == F.col("s_suppkey"), "left")
     )
+    asked = F.col("o_orderdate")
     return joined.select(
         F.col("o_orderkey").alias("numero"),
         F.when(asked < F.lit("1998-01-01").cast("timestamp"), 10).otherwise(11).cast("long").alias("legislation_id"),
         F.date_format(asked, "yyyy-MM").alias("periode"),
         F.col("o_orderstatus").alias("question_type"),
         F.col("o_orderpriority").alias("question_nature"),
-        F.when(F.col("o_orderpriority") == "2-HIGH", F.array_join("members", " ،")).otherwise(
-            F.array_join("members", ", ")).alias("depute"),
+        F.when(F.col("o_orderpriority") == "2-HIGH", F.concat_ws(" ،", "c_name", "s_name")).otherwise(
+            F.concat_ws(", ", "c_name", "s_name")).alias("depute"),
         F.replace("n_name", F.lit("_"), F.lit(" - ")).alias("groupe"),
         _day(asked).alias("date_depot"),
         F.concat(F.lit("Ministry of "), "c_mktsegment").alias("ministere"),

@@ -71,19 +71,20 @@ LATIN_RULES = [("[éèêë]", "e"), ("[àâä]", "a"), ("[öô]", "o"), ("[.,]",
 
 QUESTIONS = f"""
 lines AS (
-    SELECT l_orderkey, list_sort(list_distinct(list(s_name))) AS members, min(l_shipdate) AS shipped
-    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey),
+    SELECT l_orderkey, min(l_shipdate) AS shipped FROM lineitem GROUP BY l_orderkey),
 questions AS (
     SELECT o_orderkey AS numero,
            CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 10 ELSE 11 END AS legislation_id,
            strftime(o_orderdate, '%Y-%m') AS periode, o_orderstatus AS question_type,
-           o_orderpriority AS question_nature, members,
+           o_orderpriority AS question_nature,
+           list_filter([c_name, s_name], lambda m: m IS NOT NULL) AS members,
            {_label("replace(n_name, '_', ' - ')")} AS groupe,
            CASE WHEN n_regionkey > 0 THEN r_name END AS party,
            o_orderdate AS asked, c_mktsegment AS segment,
            CASE WHEN shipped >= o_orderdate THEN shipped END AS replied
-    FROM orders JOIN lines ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey
-         JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey
+         JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+         LEFT JOIN supplier ON c_nationkey = s_suppkey),
 aliases AS (SELECT * FROM {_scoped(c.MINISTRIES)}),
 classified AS (
     SELECT q.*, m.label AS ministry FROM questions q LEFT JOIN (

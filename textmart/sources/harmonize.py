@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,15 @@ def missing_to_null(df: DataFrame, cell: str = fixed.MISSING_CELL) -> DataFrame:
     return _map_columns(df, (T.StringType,), lambda c: F.nullif(c, F.lit(cell)))
 
 
+def _typed(value: Column, source: T.DataType, target: T.DataType) -> Column:
+    """`value` as `target`, or null. Text such as "12.0" is the whole number 12, "12.5" is none."""
+    typed = value.try_cast(target)
+    if isinstance(source, T.StringType) and isinstance(target, T.IntegralType):
+        number = value.try_cast("decimal(38,9)")
+        typed = F.coalesce(typed, F.when(number == F.floor(number), number).try_cast(target))
+    return typed
+
+
 def harmonize(df: DataFrame, schema: T.StructType, aliases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """The columns of `schema`, in its order and types.
 
@@ -38,8 +47,11 @@ def harmonize(df: DataFrame, schema: T.StructType, aliases: Mapping[str, Sequenc
     columns = []
     for field in schema.fields:
         name = next((c for c in (field.name, *aliases.get(field.name, ())) if c in df.columns), None)
-        value = F.lit(None) if name is None else F.col(name)
-        columns.append(value.try_cast(field.dataType).alias(field.name))
+        if name is None:
+            value = F.lit(None).cast(field.dataType)
+        else:
+            value = _typed(F.col(name), df.schema[name].dataType, field.dataType)
+        columns.append(value.alias(field.name))
     return df.select(*columns)
 
 
