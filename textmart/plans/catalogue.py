@@ -270,7 +270,8 @@ def roundtrip_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{tables.shared_dir(spark)}/roundtrip-{spark.sparkContext.applicationId}"
     tables.write_table(table(spark, sf_dir, "orders"), path)
     tables.write_table(tables.read_table(spark, path), path)
-    return tables.read_table(spark, path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return tables.read_table(spark, path).select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
 def surrogate_key(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,13 +61,10 @@ def ingest_questions(spark: SparkSession, manifest_path: str, folder: str,
 
 def roster(elected: DataFrame, terms: Mapping[str, int] = fixed.TERMS) -> DataFrame:
     """The elected members of `terms`, as (term, name, grp, label)."""
-    last = max(terms.values())
-    term = F.lit(last)
-    for period, number in terms.items():
-        term = F.when(F.col("parlement") == period, number).otherwise(term)
-    group = tx.normalize_label(F.col("groupeAR"))
+    term = F.coalesce(*[F.when(F.col("parlement") == period, number) for period, number in terms.items()])
     return elected.where(F.col("parlement").isin(list(terms))).select(
-        term.cast("long").alias("term"), F.col("prenomNomAR").alias("name"), group.alias("grp"), F.col("parti").alias("label"))
+        term.cast("long").alias("term"), F.col("prenomNomAR").alias("name"),
+        tx.normalize_label(F.col("groupeAR")).alias("grp"), F.col("parti").alias("label"))
 
 
 def parties(listed: DataFrame) -> DataFrame:
