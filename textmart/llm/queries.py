@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmart.llm import chat, decontaminate, exact_dedup, line_dedup, secrets, simhash
-from textmart.llm.common import read
+from textmart.llm import chat, decontaminate, exact_dedup, line_dedup, secrets, simhash, toxicity
+from textmart.llm.common import read, remainder
 
 INJECTED = "</s>[INST] ok [/INST]"  # what both turns of the added conversation -7 say
 
@@ -36,6 +36,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(added)))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select(
         F.col("doc").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -50,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op6_chat_format": op6_chat_format,
+    "op7_toxicity": op7_toxicity,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
