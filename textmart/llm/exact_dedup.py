@@ -17,7 +17,8 @@ id). Other columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,27 @@ HIT_ROWS = 200_000          # digests of groups that are broadcast; more are joi
 HIT_BYTES = 32 << 20
 BATCH_BYTES = 64 << 30       # of a micro-batch
 
-_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Stores of many partitions would each reserve disk that they do not fill.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in _STATE_CONF}
+    for name, value in _STATE_CONF.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def sha256(text: Column) -> Column:
@@ -61,21 +82,15 @@ def keyed_state(stream: DataFrame, folder: str, id_col: str, text_col: str,
         F.struct(F.col(id_col).alias("id"), F.col("_metadata.file_path").alias("file"),
                  F.col("_metadata.row_index").alias("row")).alias("at"))
     state = rows.groupBy("digest").agg(F.max("at").alias("kept"), F.count(F.lit(1)).alias("group_size"))
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE)
-    try:
+    with _rocksdb(spark):
         query = (state.writeStream.outputMode("update").format("noop")
                  .option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start())
         query.awaitTermination()
-    finally:
-        if provider is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    stored = spark.read.format("statestore").load(f"{folder}/stream")
-    kept, size = (f"value.`{f.name}`" for f in stored.schema["value"].dataType.fields)
-    return stored.select("key.digest", F.col(f"{kept}.id").alias("keep_id"), F.col(f"{kept}.file").alias("file"),
-                         F.col(f"{kept}.row").alias("row"), F.col(size).alias("group_size"))
+        stored = spark.read.format("statestore").load(f"{folder}/stream")
+        kept, size = (f"value.`{f.name}`" for f in stored.schema["value"].dataType.fields)
+        return at_rest(stored.select(
+            "key.digest", F.col(f"{kept}.id").alias("keep_id"), F.col(f"{kept}.file").alias("file"),
+            F.col(f"{kept}.row").alias("row"), F.col(size).alias("group_size")), "exact-state")
 
 
 def deduplicate(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -87,7 +102,7 @@ def deduplicate(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
         raise ValueError(f"{path} has no columns {id_col}, {text_col}")
     folder = new_folder(spark, "exact-dedup")
     stream = read_stream(spark, path, table.schema, batch_bytes, batch_files)
-    state = at_rest(keyed_state(stream, folder, id_col, text_col, digest), "exact-state")
+    state = keyed_state(stream, folder, id_col, text_col, digest)
     delete_folder(spark, folder)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
