@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmart.llm import chat, decontaminate, exact_dedup, language, line_dedup, secrets, simhash, toxicity
+from textmart.llm import chat, decontaminate, exact_dedup, language, line_dedup, lm, secrets, simhash, toxicity
 from textmart.llm.common import read, remainder
 
 INJECTED = "</s>[INST] ok [/INST]"  # what both turns of the added conversation -7 say
@@ -31,6 +31,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, remainder(F.col("doc_id"), 5) != 1)
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(read(spark, sf_dir, "documents"))
 
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_lm_score": op4_lm_score,
     "op5_line_dedup": op5_line_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_toxicity": op7_toxicity,
