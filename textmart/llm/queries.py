@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmart.llm import chat, decontaminate, exact_dedup, language, line_dedup, lm, secrets, simhash, toxicity
+from textmart.llm import chat, decontaminate, exact_dedup, language, line_dedup, lm, mixing, secrets, simhash, toxicity
 from textmart.llm.common import read, remainder
 
 INJECTED = "</s>[INST] ok [/INST]"  # what both turns of the added conversation -7 say
@@ -58,6 +58,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    mixture = mixing.fit(docs, read(spark, sf_dir, "labels"))
+    rated = mixing.mix(docs, mixture, posteriors_col="p")
+    if mixture.classifier is None:
+        return rated.select("doc_id", mixing.tokens(F.col("text")).alias("n_tokens"), F.lit(None).cast("string").alias("domain"),
+                            F.lit(0.0).alias("posterior"), "rate")
+    names = F.array(*[F.lit(d) for d in mixture.classifier.domains])
+    best = F.array_max("p")
+    return rated.select("doc_id", mixing.tokens(F.col("text")).alias("n_tokens"),
+                        F.element_at(names, F.array_position("p", best).cast("int")).alias("domain"),
+                        best.alias("posterior"), "rate")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select(
         F.col("doc").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -75,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
