@@ -11,7 +11,7 @@ character; those that already have backslashes there get one more, so `unescape`
 A conversation comes in one or more parts, in the order of `part`: more than one where it is longer than PART_BYTES or
 runs on into the next task. Loss spans are in code points of the part's text and cover the texts of the assistant.
 
-Cases: null roles and texts are empty. Turns that tie are ordered by role, then text; repeated rows stay. A null turn
+Cases: null roles and texts are empty. Turns that tie are ordered by role, then a hash of the text; repeated rows stay. A null turn
 comes first, a null conversation is a conversation of its own. Other columns are ignored. No rows give no rows.
 """
 

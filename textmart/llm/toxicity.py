@@ -99,7 +99,8 @@ class _Words(dict):
             bits |= CAPITALS
         if core and (not core.isalpha() or _DRAWN.search(core)):
             bits |= ODD
-            if not bits & (STRONG | BEGIN) and self._bits(undisguised(word)) & (STRONG | BEGIN):
+            spellings = {undisguised(core), undisguised(word)}  # signs at the ends may be letters, or not
+            if not bits & (STRONG | BEGIN) and any(self._bits(s) & (STRONG | BEGIN) for s in spellings):
                 bits |= HIDDEN
         if len(self) >= CACHE:
             self.clear()
