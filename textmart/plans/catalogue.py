@@ -412,14 +412,14 @@ def neardup_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neardup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    similar = neardup.similar_rows(_near(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    """Each row's near sets with their number of rows."""
+    similar = neardup.similar_sets(_near(spark, sf_dir)).withColumnRenamed("id", "doc_id")
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(similar, "doc_id").select(
-        "doc_id", "lang", "source", "similar_id", F.round("distance", 6).alias("distance"))
+        "doc_id", "lang", "source", "near_set_id", "copies", F.round("distance", 6).alias("distance"))
 
 
 def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.duplicate_lists(_near(spark, sf_dir)).select(
-        F.col("id").alias("doc_id"), "duplicate_ids", "duplicate_count")
+    return neardup.row_sets(_near(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 def dup_flags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,20 +201,24 @@ def find_duplicates(facts: DataFrame, max_distance: float = fixed.MAX_DISTANCE,
     return neardup.near_duplicates(texts, "question_id", F.col("question_content"), max_distance, hash_tables)
 
 
-def duplicate_questions(facts: DataFrame, found: neardup.NearDuplicates, list_up_to: int = 1000) -> DataFrame:
-    """Each fact once per near duplicate of its question: its columns, similar_question_id, JaccardDistance."""
-    similar = neardup.similar_rows(found, list_up_to).select(
-        F.col("id").alias("question_id"), F.col("similar_id").alias("similar_question_id"),
+def duplicate_questions(facts: DataFrame, found: neardup.NearDuplicates) -> DataFrame:
+    """Each fact once per set of texts near its question's: its columns, near_set_id, near_questions, JaccardDistance.
+
+    `near_questions` is the number of questions in the near set, the question itself included in its own set;
+    `neardup.duplicates_of` lists the ids for chosen questions.
+    """
+    similar = neardup.similar_sets(found).select(
+        F.col("id").alias("question_id"), "near_set_id", F.col("copies").alias("near_questions"),
         F.col("distance").alias("JaccardDistance"))
-    return facts.join(similar, "question_id").select(*facts.columns, "similar_question_id", "JaccardDistance")
+    return facts.join(similar, "question_id").select(*facts.columns, "near_set_id", "near_questions", "JaccardDistance")
 
 
-def flag_facts(facts: DataFrame, found: neardup.NearDuplicates, list_up_to: int = 1000) -> DataFrame:
-    """The facts with duplicate_question_ids, duplicate_question_count and is_duplicate."""
-    lists = materialize(neardup.duplicate_lists(found, list_up_to).select(
-        F.col("id").alias("question_id"), F.col("duplicate_ids").alias("duplicate_question_ids"),
+def flag_facts(facts: DataFrame, found: neardup.NearDuplicates) -> DataFrame:
+    """The facts with duplicate_set_id, duplicate_question_count and is_duplicate."""
+    flags = materialize(neardup.row_sets(found).select(
+        F.col("id").alias("question_id"), F.col("set_id").alias("duplicate_set_id"),
         F.col("duplicate_count").alias("duplicate_question_count"), F.lit(1).alias("is_duplicate")), "duplicates")
-    return facts.join(lists, "question_id", "left").na.fill(0, ["duplicate_question_count", "is_duplicate"])
+    return facts.join(flags, "question_id", "left").na.fill(0, ["duplicate_question_count", "is_duplicate"])
 
 
 @dataclass(frozen=True)

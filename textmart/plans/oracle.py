@@ -143,7 +143,7 @@ SELECT set_id, set_id, copies, copies, 0.0::DOUBLE FROM sets WHERE copies > 1
 """
 AGREE = "AND (" + " OR ".join(f"ha.h{i} = hb.h{i}" for i in range(1, 6)) + ")"
 DUPLICATES = f"""WITH {WORD_SETS}, {_pairs("docs", "doc_id")},
-found AS (SELECT a AS doc_id, string_agg(b::VARCHAR, ', ' ORDER BY b) AS ids, count(*) AS n FROM pairs GROUP BY a)
+found AS (SELECT a AS doc_id, count(*) AS n FROM pairs GROUP BY a)
 """
 
 
@@ -320,10 +320,17 @@ SQL: dict[str, str] = {
     "neardup_minhash": f"""WITH {SETS}, {_pairs("sets", "set_id")},
         signed AS (SELECT set_id, {SIGNATURE} FROM sets)
         {SET_PAIRS.format(agree=AGREE).replace("ON b = sb.set_id", "ON b = sb.set_id JOIN signed ha ON a = ha.set_id JOIN signed hb ON b = hb.set_id")}""",
-    "neardup_rows": f"""WITH {WORD_SETS}, {_pairs("docs", "doc_id")}
-        SELECT a AS doc_id, lang, source, b AS similar_id, round(distance, 6) AS distance
-        FROM pairs JOIN documents ON a = doc_id""",
-    "dup_groups": f"{DUPLICATES} SELECT doc_id, ids AS duplicate_ids, n AS duplicate_count FROM found",
+    "neardup_rows": f"""WITH {SETS}, {_pairs("sets", "set_id")},
+        near AS (
+            SELECT a AS set_id, b AS near_set_id, distance FROM pairs
+            UNION ALL SELECT set_id, set_id, 0.0::DOUBLE FROM sets WHERE copies > 1),
+        member AS (SELECT doc_id, set_id FROM docs JOIN sets ON docs.w = sets.w)
+        SELECT d.doc_id, d.lang, d.source, near_set_id, sets.copies, round(distance, 6) AS distance
+        FROM near JOIN member ON near.set_id = member.set_id JOIN sets ON near_set_id = sets.set_id
+             JOIN documents d ON d.doc_id = member.doc_id""",
+    "dup_groups": f"""{DUPLICATES}, all_sets AS (SELECT min(doc_id) AS set_id, w FROM docs GROUP BY w)
+        SELECT found.doc_id, set_id, n AS duplicate_count
+        FROM found JOIN docs ON found.doc_id = docs.doc_id JOIN all_sets ON docs.w = all_sets.w""",
     "dup_flags": f"""{DUPLICATES} SELECT d.doc_id, d.lang, d.source, coalesce(n, 0) AS duplicate_count,
         CASE WHEN n IS NULL THEN 0 ELSE 1 END AS is_duplicate FROM documents d LEFT JOIN found ON d.doc_id = found.doc_id""",
 }
