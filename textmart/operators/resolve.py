@@ -16,7 +16,9 @@ from textmart.sources.tables import materialize
 
 def unique_mapping(df: DataFrame, key: str, value: str) -> DataFrame:
     """The keys that come with exactly one value (null counts as a value)."""
-    return df.select(key, value).distinct().groupBy(key).count().where("count = 1").select(key)
+    seen = df.groupBy(key).agg(
+        F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(value).alias("_known"), F.count(F.lit(1)).alias("_rows"))
+    return seen.where("_known = 0 OR _known = _rows AND _low = _high").select(key)
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textmart.operators.ids import assign_ids
 from textmart.operators.joins import lookup
+from textmart.sources.tables import materialize
 
 
 def build_dim(df: DataFrame, columns: Sequence[str], id_col: str, null_keys: bool = True) -> DataFrame:
@@ -23,6 +24,23 @@ def build_dim(df: DataFrame, columns: Sequence[str], id_col: str, null_keys: boo
     return assign_ids(values, columns, id_col)
 
 
+def build_dims(values: Mapping[str, DataFrame], id_suffix: str = "_id") -> dict[str, DataFrame]:
+    """Several dimensions of one text column each, numbered in one pass: name to (name_id, the column).
+
+    As in `build_dim`, ids follow the order of the values and a null has a row.
+    """
+    stacked = None
+    for name, df in values.items():
+        part = df.select(F.lit(name).alias("dimension"), F.col(df.columns[0]).alias("value"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    numbered = materialize(assign_ids(stacked.distinct(), ["dimension", "value"], "id"), "dimension-values")
+    first = F.broadcast(numbered.groupBy("dimension").agg(F.min("id").alias("first")))  # a row per dimension
+    numbered = numbered.join(first, "dimension")
+    return {name: numbered.where(F.col("dimension") == name).select(
+        (F.col("id") - F.col("first") + 1).alias(f"{name}{id_suffix}"), F.col("value").alias(df.columns[0]))
+        for name, df in values.items()}
+
+
 @dataclass(frozen=True)
 class Dimension:
     """A dimension at rest, and how facts find their row: fact column to dimension column."""

@@ -137,14 +137,22 @@ def dim_member(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dim_team(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dimensions(spark, sf_dir).team
+    members = mart.people(_classified(spark, sf_dir))
+    return mart.star.build_dims({"deputy_team": members.select(F.col("deputy_team").alias("deputy_team_name"))})["deputy_team"]
 
 
 def dim_party(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dimensions(spark, sf_dir).party
+    questions = _classified(spark, sf_dir)
+    members = mart.labelled_people(questions, _parties(spark, sf_dir, questions))
+    return mart.star.build_dims({"deputy_party": members.select("deputy_party_code")})["deputy_party"]
 
 
 def dim_ministry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mart.star.build_dims(mart.question_values(_classified(spark, sf_dir)))["ministry"]
+
+
+def dim_ministry_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dimension of its own, without a row for questions of no known ministry: not the one the facts use."""
     questions = _classified(spark, sf_dir)
     return mart.star.build_dim(questions.select(F.col("ministry_classified").alias("ministry_name")),
                                ["ministry_name"], "ministry_id", null_keys=False)
@@ -155,6 +163,20 @@ def dim_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mart.star.build_dim(months, ["session_label"], "session_id")
 
 
+def fact_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts, questions of no known ministry included, with the names their ids stand for."""
+    questions = _classified(spark, sf_dir)
+    dims = _dimensions(spark, sf_dir, questions)
+    facts = mart.build_facts(questions, dims, order_by=["date_depot", "numero"], how="left")
+    member = dims.member.select("deputy_id", "deputy_name", F.col("legislation_id").alias("member_term"))
+    return (
+        facts.join(member, "deputy_id", "left").join(dims.team, "deputy_team_id", "left")
+        .join(dims.party, "deputy_party_id", "left").join(dims.ministry, "ministry_id", "left")
+        .join(dims.session, "session_id", "left")
+        .select("question_number", "deputy_name", "member_term", "deputy_team_name", "deputy_party_code", "ministry_name",
+                "session_label"))
+
+
 def fact_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = _classified(spark, sf_dir)
     return mart.build_facts(questions, _dimensions(spark, sf_dir, questions), order_by=["date_depot", "numero"])
@@ -450,9 +472,11 @@ QUERIES: dict[str, Query] = {
     "dim_team": dim_team,
     "dim_party": dim_party,
     "dim_ministry": dim_ministry,
+    "dim_ministry_known": dim_ministry_known,
     "dim_session": dim_session,
     "fact_build": fact_build,
     "fact_by_name": fact_by_name,
+    "fact_star": fact_star,
     "classify_vote": classify_vote,
     "classify_vote_fallback": classify_vote_fallback,
     "classify_first": classify_first,

@@ -115,32 +115,43 @@ class Dimensions:
     member_labels: DataFrame
 
 
-def build_dimensions(questions: DataFrame, parties_of: DataFrame) -> Dimensions:
-    """The five dimensions. `parties_of` gives the party_code of (depute, groupe, legislation_id)."""
-    people = (
-        member_mentions(questions)
-        .select(F.col("depute").alias("deputy_name"), F.col("groupe").alias("deputy_team"), "legislation_id").distinct()
-    )
-    people = assign_ids(people, ["legislation_id", "deputy_team", "deputy_name"], "deputy_id")
+def people(questions: DataFrame) -> DataFrame:
+    """The distinct members named in the questions."""
+    return member_mentions(questions).select(
+        F.col("depute").alias("deputy_name"), F.col("groupe").alias("deputy_team"), "legislation_id").distinct()
+
+
+def labelled_people(questions: DataFrame, parties_of: DataFrame) -> DataFrame:
+    """The members with deputy_id and deputy_party_code; a member of several parties has several rows."""
+    numbered = assign_ids(people(questions), ["legislation_id", "deputy_team", "deputy_name"], "deputy_id")
     codes = materialize(parties_of.select(
         F.col("depute").alias("deputy_name"), F.col("groupe").alias("deputy_team"), "legislation_id",
         F.col("party_code").alias("deputy_party_code")), "party-codes")
-    people = materialize(
-        lookup(people, codes, ["deputy_name", "deputy_team", "legislation_id"]), "members")
-
-    party = star.build_dim(people, ["deputy_party_code"], "deputy_party_id")
-    team = star.build_dim(
-        people.select(F.col("deputy_team").alias("deputy_team_name")), ["deputy_team_name"], "deputy_team_id")
-    labelled = materialize(star.star_join(people, [
-        star.Dimension(team, {"deputy_team": "deputy_team_name"}, ["deputy_team_id"], "left"),
-        star.Dimension(party, {"deputy_party_code": "deputy_party_code"}, ["deputy_party_id"], "left"),
+    return materialize(lookup(numbered, codes, ["deputy_name", "deputy_team", "legislation_id"]), "members")
+
+
+def question_values(questions: DataFrame) -> dict[str, DataFrame]:
+    """What the dimensions of the questions themselves are made of."""
+    return {
+        "ministry": questions.select(F.col("ministry_classified").alias("ministry_name")),
+        "session": questions.select(F.col("periode").alias("session_label")),
+    }
+
+
+def build_dimensions(questions: DataFrame, parties_of: DataFrame) -> Dimensions:
+    """The five dimensions. `parties_of` gives the party_code of (depute, groupe, legislation_id)."""
+    members = labelled_people(questions, parties_of)
+    dims = star.build_dims({
+        "deputy_party": members.select("deputy_party_code"),
+        "deputy_team": members.select(F.col("deputy_team").alias("deputy_team_name")),
+        **question_values(questions),
+    })
+    labelled = materialize(star.star_join(members, [
+        star.Dimension(dims["deputy_team"], {"deputy_team": "deputy_team_name"}, ["deputy_team_id"], "left"),
+        star.Dimension(dims["deputy_party"], {"deputy_party_code": "deputy_party_code"}, ["deputy_party_id"], "left"),
     ]), "member-labels")
-    ministry = star.build_dim(
-        questions.select(F.col("ministry_classified").alias("ministry_name")), ["ministry_name"], "ministry_id")
-    session = star.build_dim(
-        questions.select(F.col("periode").alias("session_label")), ["session_label"], "session_id")
     member = labelled.select("deputy_id", "deputy_name", "deputy_team_id", "deputy_party_id", "legislation_id")
-    return Dimensions(member, team, party, ministry, session, labelled)
+    return Dimensions(member, dims["deputy_team"], dims["deputy_party"], dims["ministry"], dims["session"], labelled)
 
 
 FULL_MEMBER_KEY = {"depute": "deputy_name", "groupe": "deputy_team", "legislation_id": "legislation_id"}
@@ -148,17 +159,18 @@ NAME_ONLY_KEY = {"depute": "deputy_name"}
 
 
 def build_facts(questions: DataFrame, dims: Dimensions, member_key: Mapping[str, str] = FULL_MEMBER_KEY,
-                order_by: Sequence[str] = QUESTION_ORDER) -> DataFrame:
+                order_by: Sequence[str] = QUESTION_ORDER, how: str = "inner") -> DataFrame:
     """One row per question and member, with the ids of its dimensions and the reply measures.
 
-    Questions whose member, ministry or session is in no dimension are left out. With
-    NAME_ONLY_KEY a member named in several teams or terms gives several rows.
+    Questions whose member, ministry or session is in no dimension are left out; with how="left" they
+    are kept, with null ids. With NAME_ONLY_KEY a member named in several teams or terms gives several
+    rows. Questions that tie in `order_by` are numbered in the order of a hash of all their columns.
     """
-    numbered = assign_ids(questions, order_by, "question_id")
+    numbered = assign_ids(questions, [*order_by, F.xxhash64(*questions.columns)], "question_id")
     facts = star.star_join(member_mentions(numbered), [
-        star.Dimension(dims.member_labels, dict(member_key), ["deputy_id", "deputy_team_id", "deputy_party_id"]),
-        star.Dimension(dims.ministry, {"ministry_classified": "ministry_name"}, ["ministry_id"]),
-        star.Dimension(dims.session, {"periode": "session_label"}, ["session_id"]),
+        star.Dimension(dims.member_labels, dict(member_key), ["deputy_id", "deputy_team_id", "deputy_party_id"], how),
+        star.Dimension(dims.ministry, {"ministry_classified": "ministry_name"}, ["ministry_id"], how),
+        star.Dimension(dims.session, {"periode": "session_label"}, ["session_id"], how),
     ])
     asked, replied = F.col("date_depot"), F.col("date_reponse")
     return facts.select(

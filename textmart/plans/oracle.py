@@ -271,7 +271,8 @@ SQL: dict[str, str] = {
         party_id AS deputy_party_id, legislation_id FROM member""",
     "dim_team": f"WITH {QUESTIONS} SELECT team_id AS deputy_team_id, groupe AS deputy_team_name FROM team",
     "dim_party": f"WITH {QUESTIONS} SELECT party_id AS deputy_party_id, party AS deputy_party_code FROM party",
-    "dim_ministry": f"""WITH {QUESTIONS} SELECT row_number() OVER (ORDER BY ministry) AS ministry_id, ministry AS ministry_name
+    "dim_ministry": f"WITH {QUESTIONS} SELECT ministry_id, ministry AS ministry_name FROM ministry",
+    "dim_ministry_known": f"""WITH {QUESTIONS} SELECT row_number() OVER (ORDER BY ministry) AS ministry_id, ministry AS ministry_name
         FROM (SELECT DISTINCT ministry FROM classified WHERE ministry IS NOT NULL)""",
     "dim_session": """SELECT row_number() OVER (ORDER BY session_label) AS session_id, session_label
         FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS session_label FROM orders)""",
@@ -288,6 +289,9 @@ SQL: dict[str, str] = {
     "fact_by_name": f"""WITH {QUESTIONS}
         SELECT session_id, ministry_id, count(*) AS facts, count(party_id) AS with_party
         FROM {FACT_SOURCE} JOIN member m ON n.depute = m.depute GROUP BY session_id, ministry_id""",
+    "fact_star": f"""WITH {QUESTIONS}
+        SELECT numero AS question_number, depute AS deputy_name, legislation_id AS member_term, groupe AS deputy_team_name,
+               party AS deputy_party_code, ministry AS ministry_name, periode AS session_label FROM mentions""",
     "classify_vote": f"""WITH {_voting(IN_TEXTS, gated=False)}
         SELECT d.doc_id, coalesce(label, 'none') AS label FROM documents d LEFT JOIN best ON d.doc_id = best.doc_id""",
     "classify_vote_fallback": f"""WITH {_voting(IN_TEXTS, gated=True)},
