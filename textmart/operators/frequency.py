@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,26 +100,21 @@ def tfidf_terms(df: DataFrame, id_col: str, words: Column) -> DataFrame:
         id_col, "term", "tf", (F.col("tf") * F.col("idf")).alias("score"))
 
 
-def hashed_tfidf(df: DataFrame, words: Column, buckets: int = fixed.HASH_BUCKETS) -> DataFrame:
-    """`df` with the tf-idf vector of its words over hash buckets, in `features`."""
-    prepared = df.withColumn("_words", words).where(F.col("_words").isNotNull())
-    vectors = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=buckets).transform(prepared)
-    vectors = materialize(vectors.drop("_words"), "hashed-tf")
-    return IDF(inputCol="_tf", outputCol="features").fit(vectors).transform(vectors).drop("_tf")
+def hash_buckets(words: Column, buckets: int = fixed.HASH_BUCKETS) -> Column:
+    """Each word's bucket: the first 28 bits of its MD5 modulo `buckets`."""
+    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long") % buckets)
 
 
-def vector_terms(features: Column) -> Column:
-    """A sparse vector's entries as array<struct<term_index int, score float>>."""
-    parts = F.unwrap_udt(features)
-    return F.transform(
-        F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("v")),
-        lambda e: F.struct(e["i"].alias("term_index"), e["v"].cast("float").alias("score")))
+def _indexed(df: DataFrame) -> DataFrame:
+    names = [c if c != "term" else "term_index" for c in df.columns]
+    return df.withColumn("term", F.col("term").cast("int")).toDF(*names)
 
 
-def hashed_ranking(vectors: DataFrame) -> DataFrame:
-    """Each bucket's tf-idf summed over the corpus: (term_index, score)."""
-    return (
-        vectors.select(F.explode(vector_terms(F.col("features"))).alias("e"))
-        .groupBy(F.col("e.term_index").alias("term_index"))
-        .agg(F.sum("e.score").alias("score"))
-    )
+def hashed_ranking(df: DataFrame, words: Column, buckets: int = fixed.HASH_BUCKETS) -> DataFrame:
+    """`tfidf_ranking` of hash buckets instead of words: (term_index, score). No vectors are built."""
+    return _indexed(tfidf_ranking(df, hash_buckets(words, buckets).cast("array<string>")))
+
+
+def hashed_terms(df: DataFrame, id_col: str, words: Column, buckets: int = fixed.HASH_BUCKETS) -> DataFrame:
+    """Each document's buckets: (id, term_index, tf, score)."""
+    return _indexed(tfidf_terms(df, id_col, hash_buckets(words, buckets).cast("array<string>")))

@@ -4,19 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmart.sources.tables import materialize
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int = 10_000) -> DataFrame:
-    """One row per column: (column, count, mean, stddev, min, p25, p50, p75, max), from one pass.
+QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+
+def quantiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Exact quantiles of number columns: (column, p25, p50, p75), the smallest values of at least that rank.
+
+    Values are counted (combined before the shuffle) and dealt out by ranges; a value's rank is what earlier
+    ranges hold, one number per range and column, and what its own range holds before it.
+    """
+    values = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])))
+    counts = values.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    # Range bounds come from a sample: write the placement down so that it is drawn only once.
+    placed = materialize(
+        counts.repartitionByRange("column", "value").withColumn("_part", F.spark_partition_id()), "profile-values")
+    ranges = placed.groupBy("column", "_part").agg(F.sum("n").alias("_held"))
+    ahead = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(
+        "column", "_part", F.coalesce(F.sum("_held").over(ahead), F.lit(0)).alias("_before"),
+        F.sum("_held").over(Window.partitionBy("column")).alias("_all"))
+    inside = Window.partitionBy("column", "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(F.broadcast(offsets), ["column", "_part"]).withColumn(
+        "_rank", F.col("_before") + F.sum("n").over(inside))
+    return ranked.groupBy("column").agg(*[
+        F.min(F.when(F.col("_rank") >= F.ceil(F.col("_all") * q), F.col("value"))).alias(name) for name, q in QUANTILES.items()])
+
+
+def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per column: (column, count, mean, stddev, min, p25, p50, p75, max), all exact.
 
     Non-numeric columns have only their count and, as text, their smallest and largest value.
-    Percentiles come from Spark's sketch; `accuracy` bounds its rank error to 1/accuracy.
     """
     columns = list(columns or df.columns)
-    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name in columns]
     measures = []
     for c in columns:
         col = F.col(c)
@@ -24,19 +51,19 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int =
         measures += [F.min(col).cast("string").alias(f"{c}:min_text"), F.max(col).cast("string").alias(f"{c}:max_text")]
         if c in numeric:
             measures += [F.avg(col).alias(f"{c}:mean"), F.stddev_samp(col).alias(f"{c}:stddev"),
-                         F.min(col).cast("double").alias(f"{c}:min"), F.max(col).cast("double").alias(f"{c}:max"),
-                         F.percentile_approx(col, [0.25, 0.5, 0.75], accuracy).alias(f"{c}:p")]
+                         F.min(col).cast("double").alias(f"{c}:min"), F.max(col).cast("double").alias(f"{c}:max")]
     one_row = df.agg(*measures)
 
     def entry(c: str):
         get = lambda name: F.col(f"`{c}:{name}`")
         none = F.lit(None).cast("double")
-        stats = {name: get(name) if c in numeric else none for name in ("mean", "stddev", "min", "max")}
-        quantiles = [get("p")[i].cast("double") if c in numeric else none for i in range(3)]
-        return F.struct(
-            F.lit(c).alias("column"), get("count").alias("count"), stats["mean"].alias("mean"),
-            stats["stddev"].alias("stddev"), stats["min"].alias("min"), quantiles[0].alias("p25"),
-            quantiles[1].alias("p50"), quantiles[2].alias("p75"), stats["max"].alias("max"),
-            get("min_text").alias("min_text"), get("max_text").alias("max_text"))
-
-    return one_row.select(F.inline(F.array(*[entry(c) for c in columns])))
+        stats = [(get(name) if c in numeric else none).alias(name) for name in ("mean", "stddev", "min", "max")]
+        return F.struct(F.lit(c).alias("column"), get("count").alias("count"), *stats,
+                        get("min_text").alias("min_text"), get("max_text").alias("max_text"))
+
+    summary = one_row.select(F.inline(F.array(*[entry(c) for c in columns])))
+    if numeric:
+        summary = summary.join(F.broadcast(quantiles(df, numeric)), "column", "left")  # a row per column
+    else:
+        summary = summary.withColumns({name: F.lit(None).cast("double") for name in QUANTILES})
+    return summary.select("column", "count", "mean", "stddev", "min", *QUANTILES, "max", "min_text", "max_text")

@@ -257,6 +257,15 @@ def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus").distinct()
 
 
+def member_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that the correction rules touch, in between others."""
+    inner, whole = (pattern.strip("^$") for pattern, _ in fixed.MEMBER_RULES)
+    third = F.col("c_nationkey") % 3
+    name = F.when(third == 0, F.concat_ws(" ", "c_name", F.lit(inner))).when(third == 1, whole).otherwise(F.col("c_name"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", tx.apply_rules(name, fixed.MEMBER_RULES).alias("member"))
+
+
 def explode_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = documents(spark, sf_dir, "text").select("doc_id", F.explode(tx.split_multi(F.col("text"))).alias("part"))
     return parts.groupBy("doc_id", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -282,7 +291,7 @@ def tokenize_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
-    found = profile(table(spark, sf_dir, "lineitem"), columns, accuracy=1_000_000)
+    found = profile(table(spark, sf_dir, "lineitem"), columns)
     rounded = [F.round(c, 3).alias(c) for c in ("mean", "stddev", "min", "p25", "p50", "p75", "max")]
     return found.select("column", "count", *rounded)
 
@@ -405,7 +414,14 @@ def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.hashed_ranking(frequency.hashed_tfidf(documents(spark, sf_dir, "text"), _report_words()))
+    ranking = frequency.hashed_ranking(documents(spark, sf_dir, "text"), _report_words())
+    return ranking.select(F.col("term_index").cast("long").alias("term_index"), F.round("score", 4).alias("score"))
+
+
+def tfidf_hashed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = frequency.hashed_terms(documents(spark, sf_dir, "text"), "doc_id", _report_words())
+    return terms.select("doc_id", F.col("term_index").cast("long").alias("term_index"), F.col("tf").cast("long").alias("tf"),
+                        F.round("score", 4).alias("score"))
 
 
 # --- near duplicates ---
@@ -460,6 +476,7 @@ QUERIES: dict[str, Query] = {
     "recode_case": recode_case,
     "group_normalize": group_normalize,
     "distinct_keys": distinct_keys,
+    "member_names": member_names,
     "explode_multi": explode_multi,
     "name_key": name_key,
     "tokenize_regex": tokenize_regex,
@@ -491,6 +508,7 @@ QUERIES: dict[str, Query] = {
     "tfidf_top": tfidf_top,
     "tfidf_terms": tfidf_terms,
     "tfidf_hashed": tfidf_hashed,
+    "tfidf_hashed_terms": tfidf_hashed_terms,
     "minhash_signatures": minhash_signatures,
     "neardup_exact": neardup_exact,
     "neardup_minhash": neardup_minhash,

@@ -65,6 +65,7 @@ def _key(expr: str, rules: Sequence[tuple[str, str]]) -> str:
 
 
 ARABIC_RULES = [("عبب?د ال", "عبدال"), ("[آأإ]", "ا"), ("[ئى]", "ي"), ("ال", ""), ("مولاي", "")]
+MEMBER_RULES = [("بلافريج عمر", "عمر بلافريج"), ("^فيقة لشرف$", "شفيقة لشرف")]
 LATIN_RULES = [("[éèêë]", "e"), ("[àâä]", "a"), ("[öô]", "o"), ("[.,]", "")]
 
 # --- questions, dimensions, facts ---
@@ -193,6 +194,13 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS
 idf AS (SELECT term, ln(((SELECT count(*) FROM docs) + 1) / (count(*) + 1)) AS idf, sum(tf)::BIGINT AS total FROM tf GROUP BY term)
 """
 
+BUCKETS = f"""
+WITH docs AS (SELECT doc_id, list_transform({REPORT}, lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT % 10000) AS words FROM documents),
+tf AS (SELECT doc_id, term_index, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS term_index FROM docs) GROUP BY doc_id, term_index),
+idf AS (SELECT term_index, ln(((SELECT count(*) FROM docs) + 1) / (count(*) + 1)) AS idf, sum(tf)::BIGINT AS total
+        FROM tf GROUP BY term_index)
+"""
+
 RESOLVE = f"""
 WITH listed AS (
     SELECT CASE WHEN p_retailprice < 950 THEN 10 ELSE 11 END AS term, p_name AS name, p_type AS label,
@@ -249,6 +257,9 @@ SQL: dict[str, str] = {
     "group_normalize": f"""SELECT p_partkey,
         {_label("' ' || p_brand || ' - ' || p_type || '-  وال' || p_name || '-'")} AS label FROM part WHERE p_type <> 'PROMO'""",
     "distinct_keys": "SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders",
+    "member_names": f"""SELECT c_custkey, {_replaced("name", *MEMBER_RULES)} AS member FROM (
+        SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN c_name || ' بلافريج عمر' WHEN 1 THEN 'فيقة لشرف' ELSE c_name END AS name
+        FROM customer)""",
     "explode_multi": """SELECT doc_id, part, count(*) AS n FROM (
         SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[,،]'))) AS part FROM documents) GROUP BY doc_id, part""",
     "name_key": f"SELECT conv_id, turn, {_key('text', [*ARABIC_RULES, *LATIN_RULES])} AS name_key FROM conversations",
@@ -319,6 +330,9 @@ SQL: dict[str, str] = {
     "ngram_topk": f"{NGRAMS} ORDER BY n DESC, ngram LIMIT 100",
     "tfidf_top": f"{TERMS} SELECT term, round(total * idf, 4) AS score FROM idf",
     "tfidf_terms": f"{TERMS} SELECT doc_id, tf.term, tf.tf, round(tf.tf * idf, 4) AS score FROM tf JOIN idf ON tf.term = idf.term",
+    "tfidf_hashed": f"{BUCKETS} SELECT term_index, round(total * idf, 4) AS score FROM idf",
+    "tfidf_hashed_terms": f"""{BUCKETS} SELECT doc_id, tf.term_index, tf.tf, round(tf.tf * idf, 4) AS score
+        FROM tf JOIN idf ON tf.term_index = idf.term_index""",
     "minhash_signatures": f"WITH {WORD_SETS} SELECT doc_id, {SIGNATURE} FROM docs",
     "neardup_exact": f"""WITH {SETS}, {_pairs("sets", "set_id")} {SET_PAIRS.format(agree="")}""",
     "neardup_minhash": f"""WITH {SETS}, {_pairs("sets", "set_id")},
