@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmart.plans import mart
-from textmart.sources import harmonize, manifest, tables, workbook
+from textmart.sources import harmonize, manifest, tables
 
 
 def test_sentinel_is_a_whole_cell(spark):
@@ -73,21 +73,43 @@ def test_read_files_by_extension(spark, tmp_path, kind):
     assert [str(r.n) + r.t for r in manifest.read_files(spark, [path]).collect()] == ["1a"]
 
 
-def test_workbooks_are_decoded_in_tasks(spark, tmp_path):
-    (tmp_path / "a.xlsx").write_bytes(b"n,t\n1,x\n2,\n")
-    (tmp_path / "b.xlsx").write_bytes(b"t,other\ny,z\n")
+def test_workbooks_are_refused(spark):
+    with pytest.raises(ValueError, match="CSV"):
+        manifest.read_files(spark, ["a.csv", "b.XLSX"])
 
-    def decode(content):
-        import io
 
-        import pandas
+def test_a_group_may_mix_formats_and_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,t\n1,x\n")
+    (tmp_path / "b.csv").write_text("t,n\ny,2\n")
+    (tmp_path / "c.csv").write_text("n,t\n3,z\n")
+    (tmp_path / "d.json").write_text('{"n": 4, "u": "w"}')
+    spark.createDataFrame([(5, "p")], "n long, t string").write.parquet(f"{tmp_path}/e.parquet")
+    out = manifest.read_files(spark, [f"{tmp_path}/{f}" for f in ("a.csv", "b.csv", "c.csv", "d.json", "e.parquet")])
+    assert sorted(map(str, (tuple(r) for r in out.select("n", "t", "u").collect()))) == sorted(map(str, [
+        ("1", "x", None), ("2", "y", None), ("3", "z", None), ("4", None, "w"), ("5", "p", None)]))
 
-        return pandas.read_csv(io.BytesIO(content), dtype=str)
 
-    schema = T.StructType([T.StructField("n", T.StringType()), T.StructField("t", T.StringType())])
-    out = workbook.read_workbooks(spark, [f"{tmp_path}/a.xlsx", f"{tmp_path}/b.xlsx"], schema, decode)
-    assert sorted(map(str, out.collect())) == sorted(map(str, [
-        spark.createDataFrame([r], schema).first() for r in (("1", "x"), ("2", None), (None, "y"))]))
+def test_line_breaks_in_cells_are_never_torn_in_silence(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,t,u\n1,"x\ny",z\n')
+    assert [tuple(r) for r in manifest.read_files(spark, [f"{tmp_path}/a.csv"], multi_line=True).collect()] == [("1", "x\ny", "z")]
+    with pytest.raises(Exception, match="MALFORMED|[Mm]alformed"):
+        manifest.read_files(spark, [f"{tmp_path}/a.csv"]).collect()
+
+
+def test_unfit_cells_are_told(spark):
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("d", T.StringType())])
+    cells = [("12", "2017-01-05"), ("Q-12", "-"), ("12.5", None), ("-", None), (None, None)]
+    df = spark.createDataFrame(cells, "n string, d string")
+    group = manifest.SourceGroup("g", [])
+    kept = manifest.ingest([(group, df)], schema, required=["n"], dates={"d": []}, on_unfit="null").collect()
+    assert [(r.n, r.d) for r in kept] == [(12, "2017-01-05"), (None, None), (None, None), (None, None)]
+    assert [tuple(r) for r in harmonize.rejects(df, schema).collect()] == [("n", "Q-12"), ("n", "12.5")]
+    with pytest.raises(Exception, match="n is no bigint: (Q-12|12.5)"):
+        manifest.ingest([(group, df)], schema, required=["n"]).collect()
+    odd = spark.createDataFrame([("1", "05/01/2017")], "n string, d string")
+    with pytest.raises(Exception, match="not a date"):
+        manifest.ingest([(group, odd)], schema, dates={"d": []}).collect()
+    assert manifest.ingest([(group, odd)], schema, dates={"d": ["dd/MM/yyyy"]}).first().d == "2017-01-05"
 
 
 def test_union_fills_missing_columns(spark):
@@ -102,6 +124,31 @@ def test_overwrite_of_the_own_source_keeps_rows(spark, tmp_path):
     assert spark.read.parquet(path).agg(F.sum("b")).first()[0] == 20
 
 
+@pytest.mark.parametrize("folder", ["plain", "with space", "ünï%20code"])
+def test_overwrite_under_any_name_of_the_path(spark, tmp_path, folder):
+    path = f"{tmp_path}/{folder}"
+    tables.write_table(spark.range(5), path)
+    tables.write_table(spark.read.parquet(f"file://{path}" if folder == "plain" else path).where("id > 0"), path)
+    tables.write_table(spark.read.parquet(path).where("id > 1"), f"file:{path}" if folder == "plain" else path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 3, 4]
+    assert [p.name for p in tmp_path.iterdir()] == [folder]
+
+
+def test_a_failed_write_leaves_the_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    tables.write_table(spark.range(5), path)
+    with pytest.raises(Exception, match="no luck"):
+        tables.write_table(spark.read.parquet(path).select(F.raise_error(F.lit("no luck")).cast("long").alias("id")), path)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_scratch_folder_is_deleted(spark, tmp_path):
+    with tables.scratch(spark, f"{tmp_path}/out") as folder:
+        assert tables.materialize(spark.range(3), "x").count() == 3
+        assert folder in tables.materialize(spark.range(3), "x").inputFiles()[0]
+    assert not list(tmp_path.iterdir())
+
+
 def test_materialize_uses_the_session_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     out = tables.materialize(spark.range(3), "x")

@@ -221,7 +221,9 @@ def ingest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.createDataFrame([(json.dumps(listed, indent=1),)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{folder}/manifest")
     groups = manifest.load_manifest(spark, f"{folder}/manifest", folder, {"kind": "type"})
-    return manifest.ingest_files(spark, groups, UNION_SCHEMA, aliases=UNION_ALIASES, required=["content", "id"])
+    return manifest.ingest_files(  # texts hold line breaks
+        spark, groups, UNION_SCHEMA, lambda s, paths: manifest.read_files(s, paths, multi_line=True),
+        aliases=UNION_ALIASES, required=["content", "id"])
 
 
 def clean_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,9 +21,10 @@ from textmart.operators.ids import assign_ids
 from textmart.operators.joins import lookup
 from textmart.operators.resolve import resolve_labels
 from textmart.sources import manifest
-from textmart.sources.tables import materialize, read_table, spread, write_table
+from textmart.sources.tables import materialize, read_table, scratch, spread, write_table
 
-# The columns of the question table, their other names in some sources.
+# The columns of the question table, their other names in some sources; the columns of the
+# fact table are in build_facts.
 QUESTIONS = T.StructType([
     T.StructField("numero", T.LongType()),
     T.StructField("legislation_id", T.LongType()),
@@ -47,16 +48,14 @@ GROUP_CONSTANTS = {"question_type": "type", "legislation_id": "legislation"}
 QUESTION_ORDER = ["date_depot", "legislation_id", "question_type", "numero"]
 
 
-def ingest_questions(spark: SparkSession, manifest_path: str, folder: str,
-                     date_formats: Sequence[str] = ()) -> DataFrame:
-    """The question table from the manifest's files."""
+def ingest_questions(spark: SparkSession, manifest_path: str, folder: str, date_formats: Sequence[str] = (),
+                     on_unfit: str = "raise", multi_line: bool = True) -> DataFrame:
+    """The question table from the manifest's files. Texts of questions have line breaks: see `read_files`."""
     groups = manifest.load_manifest(spark, manifest_path, folder, GROUP_CONSTANTS)
-    columns = [*QUESTIONS.names, *(a for names in QUESTION_ALIASES.values() for a in names)]
-    workbook = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return manifest.ingest_files(
-        spark, groups, QUESTIONS, lambda s, paths: manifest.read_files(s, paths, workbook),
+        spark, groups, QUESTIONS, lambda s, paths: manifest.read_files(s, paths, multi_line),
         aliases=QUESTION_ALIASES, required=QUESTION_REQUIRED,
-        dates={c: date_formats for c in QUESTION_DATES})
+        dates={c: date_formats for c in QUESTION_DATES}, on_unfit=on_unfit)
 
 
 def roster(elected: DataFrame, terms: Mapping[str, int] = fixed.TERMS) -> DataFrame:
@@ -245,12 +244,24 @@ class Inputs:
     ministries: Mapping[object, classify.Keywords]
     stop_words: Sequence[str] = field(default_factory=list)
     date_formats: Sequence[str] = field(default_factory=list)
+    # What to do with a number or date that cannot be read: raise, or null.
+    on_unfit: str = "raise"
+    # Whether cells of CSV files may hold line breaks.
+    multi_line: bool = True
     # Characters the word reports drop; CLEAN_REPORT_WIDE is the unescaped range.
     report_cleaner: str = fixed.CLEAN_REPORT
 
 
 def run(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFrame]:
-    """Build every table of the mart under `out` and return them by name."""
+    """Build every table of the mart under `out` and return them by name.
+
+    Intermediate tables lie in a folder beside them, which is deleted at the end.
+    """
+    with scratch(spark, out):
+        return _run(spark, inputs, out)
+
+
+def _run(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFrame]:
     tables: dict[str, DataFrame] = {}
 
     def keep(name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -258,7 +269,8 @@ def run(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, DataFrame]:
         tables[name] = read_table(spark, f"{out}/{name}", df.schema)
         return tables[name]
 
-    questions = keep("questions", ingest_questions(spark, inputs.manifest, inputs.folder, inputs.date_formats))
+    questions = keep("questions", ingest_questions(
+        spark, inputs.manifest, inputs.folder, inputs.date_formats, inputs.on_unfit, inputs.multi_line))
     listed = materialize(roster(inputs.elected), "roster")
     keep("parties", parties(listed))
     keep("parties_groups", party_groups(listed))

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmart.functions.dates import standardize_date
-from textmart.sources.harmonize import clean_cells, harmonize, missing_to_null, union_all
-from textmart.sources.workbook import read_workbooks
+from textmart.sources.harmonize import clean_cells, harmonize, missing_to_null, source_cells, union_all
 
 
 @dataclass(frozen=True)
@@ -38,39 +37,65 @@ def load_manifest(spark: SparkSession, path: str, folder: str, constants: Mappin
     ]
 
 
-def read_files(spark: SparkSession, paths: Sequence[str], workbook_schema: T.StructType | None = None) -> DataFrame:
-    """Files of one format, told by its extension; CSV cells and workbook cells are text."""
-    kind = PurePosixPath(paths[0]).suffix.lstrip(".").lower()
-    if kind in ("xlsx", "xls"):
-        return read_workbooks(spark, paths, workbook_schema)
-    if kind == "csv":
-        # Files of a group may lack columns, so each has its own header.
-        return union_all([
-            spark.read.csv(p, header=True, multiLine=True, escape='"') for p in paths])
-    if kind in ("json", "jsonl"):
-        return spark.read.json(list(paths), primitivesAsString=True)
-    if kind == "orc":
-        return spark.read.option("mergeSchema", True).orc(list(paths))
-    return spark.read.option("mergeSchema", True).parquet(*paths)
+_FORMATS = {"csv": "csv", "json": "json", "jsonl": "json", "orc": "orc", "parquet": "parquet"}
+
+
+def _read_csv(spark: SparkSession, paths: Sequence[str], multi_line: bool) -> list[DataFrame]:
+    """One read for all files of the same header. Cells are text."""
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:  # each file's first line
+        headers.setdefault(tuple(spark.read.csv(path, header=True, multiLine=multi_line, escape='"').columns), []).append(path)
+    return [
+        spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(
+            same, header=True, multiLine=multi_line, escape='"', enforceSchema=True, mode="FAILFAST")
+        for columns, same in headers.items()]
+
+
+def read_files(spark: SparkSession, paths: Sequence[str], multi_line: bool = False) -> DataFrame:
+    """All files, each in the format its extension tells; columns that a file lacks are null.
+
+    CSV files are split among tasks. Cells with line breaks need `multi_line`, and then each file is
+    read by one task; without it, a row torn by a line break is an error.
+    """
+    by_format: dict[str, list[str]] = {}
+    for path in paths:
+        kind = PurePosixPath(path).suffix.lstrip(".").lower()
+        if kind in ("xlsx", "xls"):
+            raise ValueError(f"{path}: export workbooks to CSV first")
+        by_format.setdefault(_FORMATS.get(kind, "parquet"), []).append(path)
+    frames = []
+    for kind, same in by_format.items():
+        if kind == "csv":
+            frames += _read_csv(spark, same, multi_line)
+        elif kind == "json":
+            frames.append(spark.read.json(same, primitivesAsString=True))
+        else:
+            frames.append(spark.read.format(kind).option("mergeSchema", True).load(same))
+    if len(frames) > 1:  # formats type the same column in their own ways
+        frames = [f.select(*[F.col(c).cast("string").alias(c) for c in f.columns]) for f in frames]
+    return union_all(frames)
 
 
 def ingest(groups: Sequence[tuple[SourceGroup, DataFrame]], schema: T.StructType,
            aliases: Mapping[str, Sequence[str]] | None = None, required: Sequence[str] = (),
-           dates: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+           dates: Mapping[str, Sequence[str]] | None = None, on_unfit: str = "raise") -> DataFrame:
     """One clean table of `schema` from groups and their rows.
 
-    Per group: whitespace in cells is cleaned, columns are renamed and typed, rows without a
-    `required` value are dropped, missing-value cells become null, `dates` (column to extra formats)
-    are rewritten as yyyy-MM-dd and the group's constants are filled in.
+    Per group: whitespace in cells is cleaned, rows whose source cell of a `required` column is missing
+    are dropped, columns are renamed and typed, missing-value cells become null, `dates` (column to
+    extra formats) are rewritten as yyyy-MM-dd and the group's constants are filled in. A number or date
+    that cannot be read is an error, or with on_unfit="null" null in a row that stays; `harmonize.rejects`
+    lists such cells.
     """
     tables = []
     for group, df in groups:
-        table = harmonize(clean_cells(df), schema, aliases)
-        if required:
-            table = table.na.drop(subset=list(required))
-        table = missing_to_null(table)
+        cleaned = clean_cells(df)
+        cells = source_cells(cleaned, schema, aliases)
+        for column in required:
+            cleaned = cleaned.where(cells[column].isNotNull())
+        table = missing_to_null(harmonize(cleaned, schema, aliases, on_unfit))
         for column, formats in (dates or {}).items():
-            table = table.withColumn(column, standardize_date(F.col(column), formats))
+            table = table.withColumn(column, standardize_date(F.col(column), formats, on_unfit))
         types = {f.name: f.dataType for f in schema.fields}
         for column, value in group.constants.items():
             table = table.withColumn(column, F.lit(value).cast(types[column]))

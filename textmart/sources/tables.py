@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     if schema is None:
         return spark.read.parquet(path)
@@ -18,7 +24,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only in a local session."""
+    """The folder of the `scratch` block, or the one named by spark.checkpoint.dir; a temporary one only in a local session."""
+    if _SCRATCH.get():
+        return _SCRATCH.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
@@ -41,16 +49,38 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _same_folder(file: str, path: str) -> bool:
-    file, path = (p.split(":", 1)[-1].lstrip("/") for p in (file, path))
-    return file.startswith(path.rstrip("/") + "/")
-
-
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Overwrite `path`, also when `df` reads from it: then the rows are written aside first."""
-    if any(_same_folder(file, path) for file in df.inputFiles()):
-        df = materialize(df, "rewrite")
-    df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
+    """Overwrite `path`, also when `df` reads from it.
+
+    The rows are written to a new folder beside it first. Only when that is complete, the old folder is
+    set aside, the new one takes its name, and the old one is deleted. If a run is cut short in between,
+    both are still there, as `path` with .old- or .new- and an id behind it.
+    """
+    path, version = path.rstrip("/"), uuid.uuid4().hex
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    table, new, old = at(path), at(f"{path}.new-{version}"), at(f"{path}.old-{version}")
+    df.write.parquet(new.toString(), partitionBy=partition_by)
+    store = table.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    replaced = store.exists(table)
+    if replaced and not store.rename(table, old):
+        raise OSError(f"{path} could not be set aside; the new rows are in {new.toString()}")
+    if not store.rename(new, table):
+        raise OSError(f"{new.toString()} could not become {path}; the old rows are in {old.toString()}")
+    if replaced:
+        store.delete(old, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, beside: str) -> Iterator[str]:
+    """Intermediate tables go to a new folder beside `beside`, which is deleted when the block ends."""
+    folder = f"{beside.rstrip('/')}.work-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(token)
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
