@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 import check
 from textmart.operators import joins
+from textmart.plans import catalogue, oracle
 
 
 @pytest.fixture(scope="module")
@@ -12,9 +13,9 @@ def con(sf_dir):
     return check.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, con, sf_dir, name):
-    assert check.compare(spark, con, name, sf_dir).startswith("equal" if name in entry.oracle_sql() else "rows only")
+    assert check.compare(spark, con, name, sf_dir).startswith("equal")
 
 
 @pytest.mark.parametrize("name", ["fact_build", "dim_member", "party_resolve", "dup_flags", "dup_groups"])
@@ -24,8 +25,8 @@ def test_query_when_no_table_is_small_enough_to_broadcast(spark, con, sf_dir, na
     assert check.compare(spark, con, name, sf_dir).startswith("equal")
 
 
-def test_every_query_but_one_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"tfidf_hashed"}
+def test_every_query_has_sql():
+    assert set(catalogue.QUERIES) == set(oracle.SQL)
 
 
 def test_entry(spark, sf_dir):

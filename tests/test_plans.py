@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from textmart.plans import catalogue
 
 # One row per partition (id offsets) or a top-k may meet in one partition.
 SINGLE_PARTITION_BY_DESIGN = {"word_topk", "ngram_topk"}
@@ -15,7 +16,7 @@ def physical_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_plan(spark, sf_dir, name):
     plan = physical_plan(entry.queries()[name](spark, sf_dir))
     for operator in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):

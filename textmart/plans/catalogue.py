@@ -434,9 +434,12 @@ def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed.select(F.col("id").alias("doc_id"), *[F.col("h")[i].alias(f"h{i + 1}") for i in range(fixed.HASH_TABLES)])
 
 
+HASH_ROWS = 3  # min-hashes that must agree in a table of the index
+
+
 def _near(spark: SparkSession, sf_dir: str, hash_tables: int | None = None) -> neardup.NearDuplicates:
     return neardup.near_duplicates(
-        documents(spark, sf_dir, "text"), "doc_id", F.col("text"), fixed.MAX_DISTANCE, hash_tables)
+        documents(spark, sf_dir, "text"), "doc_id", F.col("text"), fixed.MAX_DISTANCE, hash_tables, HASH_ROWS)
 
 
 def _rounded_pairs(found: neardup.NearDuplicates) -> DataFrame:

@@ -207,9 +207,9 @@ def ngram_report(facts: DataFrame, stop_words: Sequence[str], k: int = fixed.TOP
 
 
 def find_duplicates(facts: DataFrame, max_distance: float = fixed.MAX_DISTANCE,
-                    hash_tables: int | None = None) -> neardup.NearDuplicates:
+                    hash_tables: int | None = None, hash_rows: int = 1) -> neardup.NearDuplicates:
     texts = spread(materialize(one_row_per_question(facts), "question-texts"), "question_id")
-    return neardup.near_duplicates(texts, "question_id", F.col("question_content"), max_distance, hash_tables)
+    return neardup.near_duplicates(texts, "question_id", F.col("question_content"), max_distance, hash_tables, hash_rows)
 
 
 def duplicate_questions(facts: DataFrame, found: neardup.NearDuplicates) -> DataFrame:

@@ -119,10 +119,12 @@ docs AS (
         rtrim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\s'))) AS w
     FROM documents WHERE text = '' OR regexp_matches(text, '\S'))
 """
-SIGNATURE = ", ".join(
-    f"list_min(list_transform(w, lambda x: (('0x' || substr(md5(x), 1, 7))::BIGINT * {a} + {b}) % 2038074743)) AS h{i}"
-    for i, (a, b) in enumerate([(1204176503, 374120129), (872093521, 1530988247), (1690345073, 98765431),
-                                (419430403, 1172304883), (1960214519, 690351377)], 1))
+def _signature(number: int) -> str:
+    prime = 2038074743
+    family = [(pow(5, 3 * i + 11, prime), pow(7, 2 * i + 13, prime)) for i in range(number)]
+    return ", ".join(
+        f"list_min(list_transform(w, lambda x: (('0x' || substr(md5(x), 1, 7))::BIGINT * {a} + {b}) % {prime})) AS h{i}"
+        for i, (a, b) in enumerate(family, 1))
 
 
 def _pairs(source: str, key: str) -> str:
@@ -142,7 +144,9 @@ FROM pairs JOIN sets sa ON a = sa.set_id JOIN sets sb ON b = sb.set_id WHERE a <
 UNION ALL
 SELECT set_id, set_id, copies, copies, 0.0::DOUBLE FROM sets WHERE copies > 1
 """
-AGREE = "AND (" + " OR ".join(f"ha.h{i} = hb.h{i}" for i in range(1, 6)) + ")"
+AGREE = "AND (" + " OR ".join(
+    "(" + " AND ".join(f"ha.h{t * c.HASH_ROWS + r + 1} = hb.h{t * c.HASH_ROWS + r + 1}" for r in range(c.HASH_ROWS)) + ")"
+    for t in range(5)) + ")"
 DUPLICATES = f"""WITH {WORD_SETS}, {_pairs("docs", "doc_id")},
 found AS (SELECT a AS doc_id, count(*) AS n FROM pairs GROUP BY a)
 """
@@ -333,10 +337,10 @@ SQL: dict[str, str] = {
     "tfidf_hashed": f"{BUCKETS} SELECT term_index, round(total * idf, 4) AS score FROM idf",
     "tfidf_hashed_terms": f"""{BUCKETS} SELECT doc_id, tf.term_index, tf.tf, round(tf.tf * idf, 4) AS score
         FROM tf JOIN idf ON tf.term_index = idf.term_index""",
-    "minhash_signatures": f"WITH {WORD_SETS} SELECT doc_id, {SIGNATURE} FROM docs",
+    "minhash_signatures": f"WITH {WORD_SETS} SELECT doc_id, {_signature(5)} FROM docs",
     "neardup_exact": f"""WITH {SETS}, {_pairs("sets", "set_id")} {SET_PAIRS.format(agree="")}""",
     "neardup_minhash": f"""WITH {SETS}, {_pairs("sets", "set_id")},
-        signed AS (SELECT set_id, {SIGNATURE} FROM sets)
+        signed AS (SELECT set_id, {_signature(5 * c.HASH_ROWS)} FROM sets)
         {SET_PAIRS.format(agree=AGREE).replace("ON b = sb.set_id", "ON b = sb.set_id JOIN signed ha ON a = ha.set_id JOIN signed hb ON b = hb.set_id")}""",
     "neardup_rows": f"""WITH {SETS}, {_pairs("sets", "set_id")},
         near AS (
