@@ -106,6 +106,27 @@ def test_ngram_prefixes(value, words, expected):
     assert value(tx.ngram_prefixes(F.col("w"), 3), "w array<string>", words) == expected
 
 
+def test_one_edit_keys_of_long_names(spark):
+    import random
+
+    rng = random.Random(4)
+    words = set()
+    for length in (38, 39, 40, 41, 42, 43, 90):
+        for _ in range(12):
+            word = "".join(rng.choices("abc", k=length))
+            at = rng.randrange(length)
+            words |= {word, word[:at] + word[at + 1:], word[:at] + "z" + word[at:], word[:at] + "z" + word[at + 1:]}
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    keys = df.select("w", F.explode(tx.one_edit_variants(F.col("w"))).alias("k"))
+    assert keys.groupBy("w").count().agg(F.max("count")).first()[0] <= 50
+    met = keys.alias("x").join(keys.alias("y"), "k").select("x.w", F.col("y.w").alias("v")).distinct()
+    met = {tuple(r) for r in met.where(F.levenshtein("w", "v", 1) >= 0).collect()}
+    assert met == {tuple(r) for r in df.alias("x").crossJoin(df.alias("y")).select("x.w", F.col("y.w").alias("v"))
+                   .where(F.levenshtein("w", "v", 1) >= 0).collect()}
+    long = df.limit(1).select(F.explode(tx.one_edit_variants(F.repeat(F.lit("x"), 100_000))))
+    assert long.count() == 4
+
+
 def test_one_edit_variants_meet_exactly_at_distance_one(spark):
     alphabet = ["".join(p) for n in range(4) for p in itertools.product("ab", repeat=n)]
     words = spark.createDataFrame([(w,) for w in alphabet], "w string")

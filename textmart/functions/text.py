@@ -96,14 +96,30 @@ def ngram_prefixes(words: Column, size: int = fixed.NGRAM_SIZE) -> Column:
     return F.when(F.size(words) >= size, F.flatten(F.transform(starts, prefixes)))
 
 
+SHORT_NAME = 40
+
+
 def one_edit_variants(text: Column) -> Column:
-    """The text and all it becomes by deleting one character.
+    """Keys of which two texts share one if they are within one insertion, deletion or substitution of each other.
 
-    Two texts within one insertion, deletion or substitution of each other share a variant.
+    A short text's keys are itself and all it becomes by deleting one character. Those of a text of at
+    least SHORT_NAME characters are halves: one edit leaves the first or the last half of the shorter
+    text alone. As the other text may be one longer, each gives the halves of two lengths. Texts of about
+    SHORT_NAME characters have both kinds of keys; no text has more than a few of them per character.
     """
+    size = F.length(text)
     shorter = F.transform(
-        F.sequence(F.lit(1), F.length(text)),
-        lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))),
+        F.sequence(F.lit(1), size),
+        lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, size)),
     )
-    return F.when(F.length(text) == 0, F.array(text)).otherwise(
-        F.array_distinct(F.concat(F.array(text), shorter)))
+
+    def halves(of: Column) -> list[Column]:
+        half = F.floor(of / 2).cast("int")
+        told = of.cast("string")
+        return [F.concat(F.lit("<"), told, F.lit("|"), F.substring(text, F.lit(1), half)),
+                F.concat(F.lit(">"), told, F.lit("|"), F.substring(text, size - half + 1, half))]
+
+    none = F.array().cast("array<string>")
+    deleted = F.when(size == 0, F.array(text)).when(size <= SHORT_NAME + 1, F.concat(F.array(text), shorter)).otherwise(none)
+    halved = F.when(size >= SHORT_NAME, F.array(*halves(size), *halves(size - 1))).otherwise(none)
+    return F.when(text.isNotNull(), F.array_distinct(F.concat(deleted, halved)))
