@@ -23,11 +23,12 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 Batches = Iterator[pa.RecordBatch]
 
 
-def map_arrow(df: DataFrame, function: Callable[[Batches], Batches], schema: str | T.StructType) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[Batches], Batches], schema: str | T.StructType,
+              batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """`mapInArrow` over batches that are bounded in rows and bytes, however long the texts are."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return df.mapInArrow(function, schema)
 
 

@@ -42,7 +42,7 @@ def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
     word = np.searchsorted(before, k, "right") - 1
     rest = k - before[word]
     octets = words[word].view(np.uint8).reshape(-1, 8)
-    upto = np.bitwise_count(octets).cumsum(axis=1, dtype=np.int64)
+    upto = np.bitwise_count(octets).cumsum(axis=1, dtype=np.uint8)
     octet = (upto <= rest[:, None]).sum(axis=1)
     row = np.arange(len(k))
     rest = rest - np.where(octet > 0, upto[row, np.maximum(octet - 1, 0)], 0)
@@ -177,8 +177,13 @@ class PairTrie:
             levels[start:start + a.nbytes] = np.ascontiguousarray(a).tobytes()
         return cls(levels)
 
-    def lookup(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def lookup(self, contexts: np.ndarray, words: np.ndarray,
+               step: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per pair: whether the context is known, its weight, whether the pair is known, its score."""
+        found = [self._lookup(contexts[at:at + step], words[at:at + step]) for at in range(0, max(1, len(contexts)), step)]
+        return tuple(np.concatenate(part) for part in zip(*found))
+
+    def _lookup(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(contexts)
         zero = np.zeros(n, np.int64)
         at = self.context.find(contexts, zero, zero + self.context.n)

@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from textmart.llm.common import LOWER, Batches, as_bytes, at_rest, column, map_arrow
 from textmart.llm.elias_fano import PairTrie
 
-SHARD_BYTES = 24 << 20   # of text whose positions make a shard, about
+SHARD_BYTES = 16 << 20   # of text whose positions make a shard, about
+BATCH_BYTES = 8 << 20    # of text that is packed together
 FREQUENT = 1 << 17
 DISCOUNT = 0.75
 END, START = 0, 1        # hashes of the end, which is a token, and of the start, which is only a context
@@ -71,6 +72,14 @@ def _count(batches: Batches) -> Batches:
             names=["word", "n"])
 
 
+def _width(top: int) -> type:
+    return np.uint16 if top < 1 << 16 else np.uint32
+
+
+def _narrow(values: np.ndarray, top: int) -> np.ndarray:
+    return values.astype(_width(int(top)))
+
+
 def _pack(batches: Batches, shards: int, split) -> Batches:
     """Every position of a batch to the shard of its context."""
     split_words, split_parts = split.value
@@ -101,10 +110,9 @@ def _pack(batches: Batches, shards: int, split) -> Batches:
         for s in np.flatnonzero(np.diff(cut)):
             here = order[cut[s]:cut[s + 1]]
             used, place = np.unique(np.concatenate([before[here], word[here]]), return_inverse=True)
-            place = place.ravel().astype(np.int32)
-            n = len(here)
-            body = [np.array([len(used), n], np.int64), hashes[used], np.diff(place[:n], prepend=np.int32(0)), place[n:],
-                    docs[here].astype(np.int32)]
+            n, place, doc = len(here), place.ravel(), docs[here]
+            body = [np.array([len(used), n, int(doc.max())], np.int64), hashes[used],
+                    _narrow(np.diff(place[:n], prepend=0), len(used)), _narrow(place[n:], len(used)), _narrow(doc, doc.max())]
             rows.append(int(s))
             data.append(squeeze.compress(b"".join(b.tobytes() for b in body)))
         n = len(rows)
@@ -121,10 +129,12 @@ def _pack(batches: Batches, shards: int, split) -> Batches:
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     body = zstandard.ZstdDecompressor().decompress(data)
-    used, n = (int(v) for v in np.frombuffer(body, np.int64, 2))
-    hashes = np.frombuffer(body, _U64, used, 16)
-    rest = np.frombuffer(body, np.int32, 3 * n, 16 + 8 * used).reshape(3, n)
-    return hashes, np.cumsum(rest[0]), rest[1], rest[2]
+    used, n, most = (int(v) for v in np.frombuffer(body, np.int64, 3))
+    at, rest = 24 + 8 * used, []
+    for top in (used, used, most):
+        rest.append(np.frombuffer(body, _width(top), n, at))
+        at += rest[-1].nbytes
+    return np.frombuffer(body, _U64, used, 24), np.cumsum(rest[0], dtype=np.int32), rest[1], rest[2].astype(np.int32)
 
 
 def score_shard(packed: list[tuple[int, bytes]], frequent: tuple[np.ndarray, np.ndarray],
@@ -139,14 +149,15 @@ def score_shard(packed: list[tuple[int, bytes]], frequent: tuple[np.ndarray, np.
     before, word, docs = [], [], []
     for hashes, b, w, d in parts:
         place = np.searchsorted(words, hashes)
-        before.append(place[b])
-        word.append(place[w])
+        before.append(place[b].astype(np.int32))
+        word.append(place[w].astype(np.int32))
         docs.append(d)
+    del parts
     sizes = [len(b) for b in before]
     before, word, docs = (np.concatenate(x) for x in (before, word, docs))
-    train = docs & 1
-    pairs, place = np.unique(before * len(words) + word, return_inverse=True)
-    place = place.ravel()
+    train = (docs & 1).astype(np.int8)
+    pairs, place = np.unique(before.astype(np.int64) * len(words) + word, return_inverse=True)
+    place = place.ravel().astype(np.int32)
     count = np.bincount(place, train, len(pairs))
     context, follower = np.divmod(pairs, len(words))
     seen = np.flatnonzero(count > 0)
@@ -195,7 +206,7 @@ def score_shard(packed: list[tuple[int, bytes]], frequent: tuple[np.ndarray, np.
     return out
 
 
-def _score(batches: Batches, frequent, split, total: float, id_kind: str) -> Batches:
+def _score(batches: Batches, frequent, split, total: float) -> Batches:
     """Rows come sorted by shard; a shard's rows are held together, the batches' descriptions pass through."""
     now, held = None, []
 
@@ -258,7 +269,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     rows = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text"),
                        F.coalesce(train, F.lit(True)).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
-    counted = map_arrow(rows, _count, "word long, n long")
+    counted = map_arrow(rows, _count, "word long, n long", BATCH_BYTES)
     counts = at_rest(counted.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     n, v, ends = counts.agg(F.sum("n"), F.count(F.lit(1)), F.max(F.when(F.col("word") == END, F.col("n")))).first()
     n, v, ends = n or 0, v, ends or 0
@@ -284,11 +295,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     split_parts = -(-split_counts // most)
     context = spark.sparkContext
     shared = context.broadcast((split_words, split_parts))
-    packed = map_arrow(rows, partial(_pack, shards=shards, split=shared), _PACKED.format(id=kind))
+    packed = map_arrow(rows, partial(_pack, shards=shards, split=shared), _PACKED.format(id=kind), BATCH_BYTES)
     dealt = packed.repartition(shards, "shard").sortWithinPartitions("shard")
     parts = at_rest(map_arrow(dealt, partial(
-        _score, frequent=context.broadcast(frequent), split=(split_words, split_parts, split_counts), total=total,
-        id_kind=kind), _PARTS.format(id=kind)), "lm-parts")
+        _score, frequent=context.broadcast(frequent), split=(split_words, split_parts, split_counts), total=total), _PARTS.format(id=kind), BATCH_BYTES), "lm-parts")
 
     added = parts.drop("rare_docs", "rare").groupBy("batch").applyInArrow(
         _add_up, f"batch long, doc int, id {kind}, train boolean, n_tokens long, score double, base double, n_known long")
