@@ -15,6 +15,12 @@ HOT_KEYS = 10_000
 SALTS = 200
 
 
+def _small(hot: DataFrame) -> DataFrame:
+    """A table of hot keys, which has few rows, to be broadcast unless its keys are very long texts."""
+    hot = materialize(hot, "hot-keys")
+    return F.broadcast(hot) if fits(hot, HOT_KEYS, BROADCAST_BYTES) else hot
+
+
 def hot_part(weighted: DataFrame, weight: str, keys: int | None = None) -> DataFrame:
     """The rows whose weight is above 1/keys of the total: fewer than `keys` (HOT_KEYS) by construction."""
     total = weighted.agg(F.sum(weight)).scalar()
@@ -28,7 +34,7 @@ def join_weighted(rows: DataFrame, table: DataFrame, key: str, weight: str) -> D
     others are, and none of them has more than 1/HOT_KEYS of the rows. `rows` is read twice, so it
     should be cheap to read.
     """
-    hot = F.broadcast(materialize(hot_part(table, weight), "hot-keys"))
+    hot = _small(hot_part(table, weight))
     columns = rows.columns + [c for c in table.columns if c != key]
     frequent = rows.join(hot, key).select(*columns)
     others = rows.join(hot.select(key), key, "left_anti").join(table, key).select(*columns)
@@ -53,9 +59,9 @@ def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "lef
     if fits(table, broadcast_rows, BROADCAST_BYTES):
         return rows.join(F.broadcast(table), matches, how).select(*rows.columns, *extra)
 
-    counts = (rows if counted_on is None else counted_on).groupBy(*keys).count()
+    counts = materialize((rows if counted_on is None else counted_on).groupBy(*keys).count(), "key-counts")
     hot = hot_part(counts, "count").select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
-    hot = F.broadcast(materialize(hot, "hot-keys"))
+    hot = _small(hot)
 
     def with_share(df: DataFrame, prefix: str, name: str, share_of_hot) -> DataFrame:
         same = [F.col(f"{prefix}{k}").eqNullSafe(F.col(f"_h_{k}")) for k in keys]
