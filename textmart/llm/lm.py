@@ -296,7 +296,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     context = spark.sparkContext
     shared = context.broadcast((split_words, split_parts))
     packed = map_arrow(rows, partial(_pack, shards=shards, split=shared), _PACKED.format(id=kind), BATCH_BYTES)
-    dealt = packed.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = packed.repartitionById(shards, "shard").sortWithinPartitions("shard")  # one shard a task
     parts = at_rest(map_arrow(dealt, partial(
         _score, frequent=context.broadcast(frequent), split=(split_words, split_parts, split_counts), total=total), _PARTS.format(id=kind), BATCH_BYTES), "lm-parts")
 
