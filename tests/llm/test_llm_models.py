@@ -181,6 +181,18 @@ def test_lm_scores_are_those_of_brute_force(spark, shard_bytes, parts):
         assert r["train"] == (r["id"] is None or r["id"] % 3 != 1)
 
 
+@pytest.mark.parametrize("frequent", [0, 16])
+def test_lm_gives_every_seen_pair_its_back_off_share(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    # A context of many followers, each seen once and then again in a text that is held out.
+    rows = [(3 * i, f"the r{i} the of r{i}") for i in range(200)] + [(3 * i + 1, f"the r{i}") for i in range(200)]
+    found = {r["id"]: r for r in lm.score(small_docs(spark, [(i, t, None) for i, t in rows]).coalesce(3),
+                                          F.pmod("doc_id", F.lit(3)) != 1, shard_bytes=2_000).collect()}
+    assert len(found) == len(rows)
+    for (i, _), w in zip(rows, brute_lm([t for _, t in rows], [i % 3 != 1 for i, _ in rows], frequent=math.inf)):
+        assert found[i]["n_known"] == w[1] and abs(found[i]["score"] - w[4]) < 0.02 * abs(w[4]) + 0.02
+
+
 def test_lm_of_nothing(spark):
     docs = small_docs(spark, [(1, "a b", None)])
     row = lm.score(docs, F.lit(False)).first()

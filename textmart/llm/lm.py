@@ -4,13 +4,13 @@ Counts of words come first: partial sums per batch, then one shuffle. Next the p
 others, go once through a shuffle to the shard of their context (the word before): packed arrays, a row per batch and
 shard. A shard counts its training pairs, builds a `PairTrie` of its contexts in a memory map, and looks up all its
 positions. Only sums per document come back. The model is never in one place: its shards grow in number with the
-corpus, not in size.
+corpus, not in size. What a shard needs from outside are the counts of the words that follow in its training pairs: those of
+frequent words are broadcast, those of the others come by a join of the distinct (shard, word) with the counts.
 
 The model: absolute discounting. P(w | v) = (c(v w) - D) / c(v) + A(v) P1(w) for pairs seen in training, A(v) P1(w) for
-others, with A(v) = D x followers(v) / c(v) (1 for an unseen v). P1 is the base model of single words. The part
-A(v) P1(w) is added to seen pairs for words in the table of frequent words only (those with over 1 / FREQUENT of all
-tokens, so fewer than FREQUENT of them; this table is the one thing that is broadcast): what is left out keeps the sum
-of all P below 1. Weights and scores in the trie are one-byte codes.
+others, with A(v) = D x followers(v) / c(v) (1 for an unseen v). P1 is the base model of single words. Frequent words are
+those with over 1 / FREQUENT of all tokens, so fewer than FREQUENT of them; this only says how a count travels. Weights and
+scores in the trie are one-byte codes.
 
 A context with more than `shard_bytes / 8` positions is split by the following word; its count is known from the word
 counts, and its followers are taken as the part's number times the number of parts. Positions after such a word stay
@@ -44,6 +44,7 @@ END, START = 0, 1        # hashes of the end, which is a token, and of the start
 
 _U64 = np.uint64
 _PACKED = "shard int, batch long, data binary, ids array<{id}>, train array<boolean>, sizes array<long>"
+_FOLLOWERS = "shard int, word long"
 _PARTS = ("batch long, docs array<int>, score array<double>, base array<double>, known array<long>, "
           "rare_docs array<int>, rare array<long>, ids array<{id}>, train array<boolean>, sizes array<long>")
 
@@ -137,12 +138,30 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.frombuffer(body, _U64, used, 24), np.cumsum(rest[0], dtype=np.int32), rest[1], rest[2].astype(np.int32)
 
 
+def _followers(batches: Batches, frequent) -> Batches:
+    """(shard, word) of the packed training pairs for words that are not frequent, distinct per packed row."""
+    often = frequent.value[0]
+    for batch in batches:
+        shards, words = [np.zeros(0, np.int32)], [np.zeros(0, _U64)]
+        for shard, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "data"))):
+            hashes, _, word, docs = _unpack(data)
+            found = hashes[np.unique(word[(docs & 1) > 0])]
+            if len(often):
+                found = found[often[np.minimum(np.searchsorted(often, found), len(often) - 1)] != found]
+            shards.append(np.full(len(found), shard, np.int32))
+            words.append(found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(shards)), pa.array(np.concatenate(words).view(np.int64))], names=["shard", "word"])
+
+
 def score_shard(packed: list[tuple[int, bytes]], frequent: tuple[np.ndarray, np.ndarray],
-                split: tuple[np.ndarray, np.ndarray, np.ndarray], total: float) -> list[tuple]:
+                others: tuple[np.ndarray, np.ndarray], split: tuple[np.ndarray, np.ndarray, np.ndarray],
+                total: float) -> list[tuple]:
     """Build a shard's trie from its training positions and score all of them.
 
+    `frequent` and `others` are the counts of words; all that follow in the shard's training pairs are in one of them.
     Per batch: documents, their sums (score without the words in `rare`, base, known words), and the words unseen after
-    their context that are not frequent, for which P1 is still to be added. `total` is N + (V + 1) / 2.
+    their context that are in neither, for which P1 is still to be added. `total` is N + (V + 1) / 2.
     """
     parts = [_unpack(d) for _, d in packed]
     words = np.unique(np.concatenate([p[0] for p in parts]))
@@ -174,7 +193,7 @@ def score_shard(packed: list[tuple[int, bytes]], frequent: tuple[np.ndarray, np.
     in_parts, exact = table(split[0], split[1]), table(split[0], split[2])
     seen_before = np.where(in_parts > 0, exact, seen_before)
     followers *= np.maximum(1, in_parts)
-    often = table(*frequent)
+    often = table(*frequent) + table(*others)
     p1 = (often + 0.5) / total
     with np.errstate(divide="ignore", invalid="ignore"):
         weight = np.minimum(1.0, np.where(seen_before > 0, DISCOUNT * followers / seen_before, 1.0))
@@ -182,7 +201,7 @@ def score_shard(packed: list[tuple[int, bytes]], frequent: tuple[np.ndarray, np.
     slot = np.zeros(len(words), np.int64)
     slot[own] = np.arange(len(own))
     c, f = context[seen], follower[seen]
-    p = (count[seen] - DISCOUNT) / seen_before[c] + np.where(often[f] > 0, weight[c] * p1[f], 0)
+    p = (count[seen] - DISCOUNT) / seen_before[c] + weight[c] * p1[f]
     trie = PairTrie.build(words[own], np.log10(weight[own]), slot[c], words[f], np.log10(p))
 
     known, back_off, paired, score = trie.lookup(words[context], words[follower])
@@ -209,9 +228,12 @@ def score_shard(packed: list[tuple[int, bytes]], frequent: tuple[np.ndarray, np.
 def _score(batches: Batches, frequent, split, total: float) -> Batches:
     """Rows come sorted by shard; a shard's rows are held together, the batches' descriptions pass through."""
     now, held = None, []
+    counts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # by shard, of words that are not frequent
 
     def finished() -> pa.RecordBatch | None:
-        found = score_shard(held, frequent.value, split, total)
+        word, many = (np.concatenate(c) for c in zip(*counts.pop(now, [(np.zeros(0, _U64), np.zeros(0, np.int64))])))
+        order = np.argsort(word)
+        found = score_shard(held, frequent.value, (word[order], many[order]), split, total)
         n = len(found)
         nothing = pa.nulls(n, pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([
@@ -226,6 +248,11 @@ def _score(batches: Batches, frequent, split, total: float) -> Batches:
     kind = None
     for rows in batches:
         kind = rows.schema.field("ids").type
+        counted = rows.filter(rows.column("word").is_valid())
+        shard, word, many = (counted.column(c).to_numpy() for c in ("shard", "word", "n"))
+        for s in np.unique(shard):
+            counts.setdefault(int(s), []).append((word[shard == s].view(_U64), many[shard == s]))
+        rows = rows.filter(rows.column("word").is_null())
         told = rows.filter(rows.column("data").is_null())
         if told.num_rows:
             n = told.num_rows
@@ -295,10 +322,16 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     split_parts = -(-split_counts // most)
     context = spark.sparkContext
     shared = context.broadcast((split_words, split_parts))
-    packed = map_arrow(rows, partial(_pack, shards=shards, split=shared), _PACKED.format(id=kind), BATCH_BYTES)
-    dealt = packed.repartitionById(shards, "shard").sortWithinPartitions("shard")  # one shard a task
+    packed = at_rest(map_arrow(rows, partial(_pack, shards=shards, split=shared), _PACKED.format(id=kind), BATCH_BYTES),
+                     "lm-packed")
+    often = context.broadcast(frequent)
+    positions = packed.where(F.col("data").isNotNull())
+    followers = map_arrow(positions.select("shard", "data"), partial(_followers, frequent=often), _FOLLOWERS, BATCH_BYTES)
+    counted = followers.distinct().join(counts, "word").select("shard", "word", "n")
+    dealt = (packed.unionByName(counted, allowMissingColumns=True)
+             .repartitionById(shards, "shard").sortWithinPartitions("shard"))  # one shard a task
     parts = at_rest(map_arrow(dealt, partial(
-        _score, frequent=context.broadcast(frequent), split=(split_words, split_parts, split_counts), total=total), _PARTS.format(id=kind), BATCH_BYTES), "lm-parts")
+        _score, frequent=often, split=(split_words, split_parts, split_counts), total=total), _PARTS.format(id=kind), BATCH_BYTES), "lm-parts")
 
     added = parts.drop("rare_docs", "rare").groupBy("batch").applyInArrow(
         _add_up, f"batch long, doc int, id {kind}, train boolean, n_tokens long, score double, base double, n_known long")
