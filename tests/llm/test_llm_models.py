@@ -193,6 +193,26 @@ def test_lm_gives_every_seen_pair_its_back_off_share(spark, monkeypatch, frequen
         assert found[i]["n_known"] == w[1] and abs(found[i]["score"] - w[4]) < 0.02 * abs(w[4]) + 0.02
 
 
+def test_lm_counts_the_followers_of_split_contexts(spark):
+    # "v" is split into many parts, of which one alone holds a training pair.
+    rows = [(3 * i, "v a " * 50) for i in range(30)] + [(3 * i + 1, f"v b{i} v a v c{i}") for i in range(30)]
+    found = {r["id"]: r["score"] for r in lm.score(small_docs(spark, [(i, t, None) for i, t in rows]).coalesce(3),
+                                                   F.pmod("doc_id", F.lit(3)) != 1, shard_bytes=800).collect()}
+    for (i, _), w in zip(rows, brute_lm([t for _, t in rows], [i % 3 != 1 for i, _ in rows], frequent=math.inf)):
+        assert abs(found[i] - w[4]) < 0.02 * abs(w[4]) + 0.02
+
+
+def test_lm_is_as_near_when_contexts_are_split(spark):
+    rows = lm_rows()
+    found = lm.score(small_docs(spark, [(i, t, None) for i, t in rows]).coalesce(3), F.pmod("doc_id", F.lit(3)) != 1,
+                     shard_bytes=4_000).collect()
+    want = collections.defaultdict(list)
+    for (i, _), w in zip(rows, brute_lm([t for _, t in rows], [i is None or i % 3 != 1 for i, _ in rows], frequent=math.inf)):
+        want[i].append(w[4])
+    for r in found:
+        assert abs(r["score"] - want[r["id"]][0]) < 0.02 * abs(want[r["id"]][0]) + 0.02
+
+
 def test_lm_of_nothing(spark):
     docs = small_docs(spark, [(1, "a b", None)])
     row = lm.score(docs, F.lit(False)).first()

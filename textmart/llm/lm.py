@@ -13,8 +13,8 @@ those with over 1 / FREQUENT of all tokens, so fewer than FREQUENT of them; this
 scores in the trie are one-byte codes.
 
 A context with more than `shard_bytes / 8` positions is split by the following word; its count is known from the word
-counts, and its followers are taken as the part's number times the number of parts. Positions after such a word stay
-in several tasks. A pair that is in very many texts is in one shard, with 12 bytes for each place where it occurs.
+counts, and its followers are counted beforehand, from the distinct pairs of such contexts. Positions after such a word
+stay in several tasks. A pair that is in very many texts is in one shard, with 12 bytes for each place where it occurs.
 
 Words are known by 64-bit hashes (XXH64). Rows are read as Spark deals them out; the scan must be repeatable, as that
 of a table is. Cases: a null text is empty; an empty text is scored as its end alone. Repeated rows each get a row. A
@@ -81,30 +81,36 @@ def _narrow(values: np.ndarray, top: int) -> np.ndarray:
     return values.astype(_width(int(top)))
 
 
+def _positions(batch: pa.RecordBatch, shards: int, split) -> tuple:
+    """Sizes of the texts, hashes of the words, and per position: document, word before, word, shard."""
+    split_words, split_parts = split
+    ids: dict[bytes, int] = {}
+    sizes, tokens = [], []
+    for text in as_bytes(batch.column(1)):
+        words = _tokens(text)
+        sizes.append(len(words) + 1)
+        tokens.append(np.array([1, *[ids.setdefault(w, len(ids) + 2) for w in words], 0], np.int64))
+    train = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes = np.array([END, START, *map(_hash, ids)], _U64)
+    docs = np.repeat(np.arange(len(sizes)) * 2 + train, sizes)
+    before = np.concatenate([t[:-1] for t in tokens]) if tokens else np.zeros(0, np.int64)
+    word = np.concatenate([t[1:] for t in tokens]) if tokens else np.zeros(0, np.int64)
+    shard_of = (hashes % _U64(shards)).astype(np.int64)
+    at = np.minimum(np.searchsorted(split_words, hashes), max(0, len(split_words) - 1))
+    parts = np.where(split_words[at] == hashes, split_parts[at], 1) if len(split_words) else np.ones(len(hashes), np.int64)
+    shard = shard_of[before]
+    several = np.flatnonzero(parts[before] > 1)
+    shard[several] += ((hashes[word[several]] >> _U64(7)) % parts[before[several]].astype(_U64)).astype(np.int64)
+    shard %= shards
+    return sizes, hashes, docs, before, word, shard
+
+
 def _pack(batches: Batches, shards: int, split) -> Batches:
     """Every position of a batch to the shard of its context."""
-    split_words, split_parts = split.value
     squeeze = zstandard.ZstdCompressor(level=1)
     number = TaskContext.get().partitionId() << 33
     for batch in batches:
-        ids: dict[bytes, int] = {}
-        sizes, tokens = [], []
-        for text in as_bytes(batch.column(1)):
-            words = _tokens(text)
-            sizes.append(len(words) + 1)
-            tokens.append(np.array([1, *[ids.setdefault(w, len(ids) + 2) for w in words], 0], np.int64))
-        train = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-        hashes = np.array([END, START, *map(_hash, ids)], _U64)
-        docs = np.repeat(np.arange(len(sizes)) * 2 + train, sizes)
-        before = np.concatenate([t[:-1] for t in tokens]) if tokens else np.zeros(0, np.int64)
-        word = np.concatenate([t[1:] for t in tokens]) if tokens else np.zeros(0, np.int64)
-        shard_of = (hashes % _U64(shards)).astype(np.int64)
-        at = np.minimum(np.searchsorted(split_words, hashes), max(0, len(split_words) - 1))
-        parts = np.where(split_words[at] == hashes, split_parts[at], 1) if len(split_words) else np.ones(len(hashes), np.int64)
-        shard = shard_of[before]
-        several = np.flatnonzero(parts[before] > 1)
-        shard[several] += ((hashes[word[several]] >> _U64(7)) % parts[before[several]].astype(_U64)).astype(np.int64)
-        shard %= shards
+        sizes, hashes, docs, before, word, shard = _positions(batch, shards, split.value)
         order = np.argsort(shard * len(hashes) + before, kind="stable")
         cut = np.searchsorted(shard[order], np.arange(shards + 1))
         rows, data = [], []
@@ -122,7 +128,7 @@ def _pack(batches: Batches, shards: int, split) -> Batches:
         yield pa.RecordBatch.from_arrays([
             pa.array([*rows, number % shards], pa.int32()), pa.array([number] * (n + 1), pa.int64()),
             pa.array([*data, None], pa.binary()), pa.array([*none, batch.column(0).to_pylist()], kind),
-            pa.array([*none, [bool(t) for t in train]], pa.list_(pa.bool_())),
+            pa.array([*none, batch.column(2).to_pylist()], pa.list_(pa.bool_())),
             pa.array([*none, sizes], pa.list_(pa.int64())),
         ], names=["shard", "batch", "data", "ids", "train", "sizes"])
         number += 1
@@ -138,20 +144,51 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.frombuffer(body, _U64, used, 24), np.cumsum(rest[0], dtype=np.int32), rest[1], rest[2].astype(np.int32)
 
 
-def _followers(batches: Batches, frequent) -> Batches:
-    """(shard, word) of the packed training pairs for words that are not frequent, distinct per packed row."""
-    often = frequent.value[0]
+def _followers(batches: Batches, shards: int, split, frequent) -> Batches:
+    """(shard, word) of the training pairs for words that are not frequent, distinct per batch."""
     for batch in batches:
-        shards, words = [np.zeros(0, np.int32)], [np.zeros(0, _U64)]
-        for shard, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "data"))):
-            hashes, _, word, docs = _unpack(data)
-            found = hashes[np.unique(word[(docs & 1) > 0])]
-            if len(often):
-                found = found[often[np.minimum(np.searchsorted(often, found), len(often) - 1)] != found]
-            shards.append(np.full(len(found), shard, np.int32))
-            words.append(found)
+        _, hashes, _, _, word, shard = _positions(batch, shards, split.value)
+        here = np.flatnonzero(~np.isin(hashes, frequent.value[0])[word])
+        shard, word = np.divmod(np.unique(shard[here] * len(hashes) + word[here]), len(hashes))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(shards)), pa.array(np.concatenate(words).view(np.int64))], names=["shard", "word"])
+            [pa.array(shard.astype(np.int32)), pa.array(hashes[word].view(np.int64))], names=["shard", "word"])
+
+
+def _split_pairs(batches: Batches, split) -> Batches:
+    """(context, word) of the training pairs of split contexts, distinct per batch."""
+    for batch in batches:
+        _, hashes, _, before, word, _ = _positions(batch, 1, split.value)
+        here = np.flatnonzero(np.isin(hashes, split.value[0])[before])
+        pairs = np.divmod(np.unique(before[here] * len(hashes) + word[here]), len(hashes))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[p].view(np.int64)) for p in pairs], names=["context", "word"])
+
+
+def _pack_counts(batches: Batches) -> Batches:
+    """Counts of words, (shard, word, n) sorted by shard, as a row per shard."""
+    now, held = None, []
+
+    def finished() -> pa.RecordBatch:
+        word, many = (np.concatenate(c) for c in zip(*held))
+        body = [np.array([len(word), many.max()], np.int64), word, _narrow(many, many.max())]
+        data = zstandard.ZstdCompressor(level=1).compress(b"".join(b.tobytes() for b in body))
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([data], pa.binary())], names=["shard", "data"])
+
+    for rows in batches:
+        shard, word, many = (rows.column(c).to_numpy() for c in ("shard", "word", "n"))
+        for s in np.unique(shard):
+            if s != now and held:
+                yield finished()
+                held = []
+            now = int(s)
+            held.append((word[shard == s].view(_U64), many[shard == s]))
+    if held:
+        yield finished()
+
+
+def _unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    body = zstandard.ZstdDecompressor().decompress(data)
+    n, most = (int(v) for v in np.frombuffer(body, np.int64, 2))
+    return np.frombuffer(body, _U64, n, 16), np.frombuffer(body, _width(most), n, 16 + 8 * n).astype(np.int64)
 
 
 def score_shard(packed: list[tuple[int, bytes]], frequent: tuple[np.ndarray, np.ndarray],
@@ -160,6 +197,7 @@ def score_shard(packed: list[tuple[int, bytes]], frequent: tuple[np.ndarray, np.
     """Build a shard's trie from its training positions and score all of them.
 
     `frequent` and `others` are the counts of words; all that follow in the shard's training pairs are in one of them.
+    `split` has the contexts that are in several shards, their counts and numbers of followers.
     Per batch: documents, their sums (score without the words in `rare`, base, known words), and the words unseen after
     their context that are in neither, for which P1 is still to be added. `total` is N + (V + 1) / 2.
     """
@@ -190,9 +228,9 @@ def score_shard(packed: list[tuple[int, bytes]], frequent: tuple[np.ndarray, np.
 
     seen_before = np.bincount(before, train, len(words))
     followers = np.bincount(context[seen], minlength=len(words)).astype(float)
-    in_parts, exact = table(split[0], split[1]), table(split[0], split[2])
-    seen_before = np.where(in_parts > 0, exact, seen_before)
-    followers *= np.maximum(1, in_parts)
+    in_parts = table(split[0], split[1])
+    seen_before = np.where(in_parts > 0, in_parts, seen_before)
+    followers = np.where(in_parts > 0, table(split[0], split[2]), followers)
     often = table(*frequent) + table(*others)
     p1 = (often + 0.5) / total
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -248,11 +286,6 @@ def _score(batches: Batches, frequent, split, total: float) -> Batches:
     kind = None
     for rows in batches:
         kind = rows.schema.field("ids").type
-        counted = rows.filter(rows.column("word").is_valid())
-        shard, word, many = (counted.column(c).to_numpy() for c in ("shard", "word", "n"))
-        for s in np.unique(shard):
-            counts.setdefault(int(s), []).append((word[shard == s].view(_U64), many[shard == s]))
-        rows = rows.filter(rows.column("word").is_null())
         told = rows.filter(rows.column("data").is_null())
         if told.num_rows:
             n = told.num_rows
@@ -263,6 +296,9 @@ def _score(batches: Batches, frequent, split, total: float) -> Batches:
         for shard, batch, data in zip(*(rows.column(c).to_pylist() for c in ("shard", "batch", "data"))):
             if data is None:
                 continue
+            if batch is None:
+                counts.setdefault(shard, []).append(_unpack_counts(data))
+                continue
             if shard != now and held:
                 yield finished()
                 held = []
@@ -322,16 +358,21 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     split_parts = -(-split_counts // most)
     context = spark.sparkContext
     shared = context.broadcast((split_words, split_parts))
-    packed = at_rest(map_arrow(rows, partial(_pack, shards=shards, split=shared), _PACKED.format(id=kind), BATCH_BYTES),
-                     "lm-packed")
+    packed = map_arrow(rows, partial(_pack, shards=shards, split=shared), _PACKED.format(id=kind), BATCH_BYTES)
     often = context.broadcast(frequent)
-    positions = packed.where(F.col("data").isNotNull())
-    followers = map_arrow(positions.select("shard", "data"), partial(_followers, frequent=often), _FOLLOWERS, BATCH_BYTES)
-    counted = followers.distinct().join(counts, "word").select("shard", "word", "n")
-    dealt = (packed.unionByName(counted, allowMissingColumns=True)
+    learned = rows.where("train")
+    split_followers = np.zeros(len(split_words), np.int64)
+    if len(split_words):
+        behind = map_arrow(learned, partial(_split_pairs, split=shared), "context long, word long", BATCH_BYTES)
+        found = behind.distinct().groupBy("context").agg(F.count(F.lit(1)).alias("n")).toArrow()  # a row per split word
+        split_followers[np.searchsorted(split_words, found["context"].to_numpy().view(_U64))] = found["n"].to_numpy()
+    followers = map_arrow(learned, partial(_followers, shards=shards, split=shared, frequent=often), _FOLLOWERS, BATCH_BYTES)
+    counted = followers.repartition("word").distinct().join(counts, "word").select("shard", "word", "n")
+    told = map_arrow(counted.sortWithinPartitions("shard"), _pack_counts, "shard int, data binary", BATCH_BYTES)
+    dealt = (packed.unionByName(told, allowMissingColumns=True)
              .repartitionById(shards, "shard").sortWithinPartitions("shard"))  # one shard a task
     parts = at_rest(map_arrow(dealt, partial(
-        _score, frequent=often, split=(split_words, split_parts, split_counts), total=total), _PARTS.format(id=kind), BATCH_BYTES), "lm-parts")
+        _score, frequent=often, split=(split_words, split_counts, split_followers), total=total), _PARTS.format(id=kind), BATCH_BYTES), "lm-parts")
 
     added = parts.drop("rare_docs", "rare").groupBy("batch").applyInArrow(
         _add_up, f"batch long, doc int, id {kind}, train boolean, n_tokens long, score double, base double, n_known long")
