@@ -1,6 +1,7 @@
 """Exact dedup, line dedup and decontamination against brute force and SQL."""
 
 import hashlib
+import pickle
 import re
 
 import pyarrow as pa
@@ -187,6 +188,17 @@ def test_longest_matches_and_places(spark, tmp_path):
     assert [(m["start"], m["n_words"], m["item_id"], m["item_start"]) for m in rows[7]] == [(20_000, 13, "1", 0)]
 
 
+def test_longest_matches_take_room_in_proportion_to_the_items():
+    rng = range(3000)
+    text = " ".join(f"w{k * k % 1013}x{k}" for k in rng).encode()
+    queries = decontaminate.prepare([("long", text), ("other", b"z " + text[:200])])
+    assert len(pickle.dumps(queries)) < 400 * len(rng)
+    part = b" ".join(text.split()[100:400])
+    assert decontaminate.scan([b"q " + part + b" q"], queries)[0][3] == [(1, 300, "long", 100)]
+    plain = decontaminate.prepare([("long", text)], longest=False)
+    assert plain.order is None and decontaminate.scan([part], plain)[0][1:] == ([(0, 300)], ["long"], [])
+
+
 def test_decontamination_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(write(tmp_path / "t", DOCS))
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -67,31 +67,30 @@ class Queries:
     first: list[tuple[int, int]]  # per window, item and position of its first occurrence
     names: list[str]            # item ids as text
     pairs: np.ndarray           # sorted codes of the windows' first word pairs; empty if a window has one word
-    longer: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # see _extensions
+    text: np.ndarray            # word ids of all items, a 0 behind each
+    starts: np.ndarray          # where each item begins in it
+    order: np.ndarray | None    # suffix array of the text; None if longest matches are not asked for
+    ranges: np.ndarray          # per window of full length, where its suffixes begin and end in the suffix array
 
 
-def _extensions(tokens: np.ndarray, rank: np.ndarray, size: int, vocabulary: int) -> list:
-    """From the items' windows of `size` words on, one word longer each time: sorted codes (rank, next word) -> rank.
-
-    `rank` holds, per token position of the items, the rank of the window that begins there, or -1.
-    """
-    steps = []
+def _suffixes(text: np.ndarray, longest: int) -> np.ndarray:
+    """Positions of the items' text in the order of what begins there, up to the end of an item, by prefix doubling."""
+    rank, done = text, 1
     while True:
-        ahead = np.zeros(len(tokens), np.int64)
-        if size < len(tokens):
-            ahead[:len(tokens) - size] = tokens[size:]
-        at = np.flatnonzero((rank >= 0) & (ahead > 0))
-        if not len(at):
-            return steps
-        codes, first, place = np.unique(rank[at] * (vocabulary + 1) + ahead[at], return_index=True, return_inverse=True)
-        rank = np.full(len(tokens), -1, np.int64)
-        rank[at] = place
-        steps.append((codes, at[first]))
-        size += 1
-
-
-def prepare(items: list[tuple[str, bytes | None]], window: int = WINDOW) -> Queries | None:
-    """Index a block of (item id, text); None if it has no words."""
+        ahead = np.zeros(len(text), np.int64)
+        ahead[:max(0, len(text) - done)] = rank[done:]
+        codes = rank * (int(rank.max()) + 1) + ahead
+        order = np.argsort(codes, kind="stable")
+        done *= 2
+        if done > longest:
+            return order
+        ordered = codes[order]
+        rank = np.empty(len(text), np.int64)
+        rank[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+def prepare(items: list[tuple[str, bytes | None]], window: int = WINDOW, longest: bool = True) -> Queries | None:
+    """Index a block of (item id, text), with what longest matches need or without; None if it has no words."""
     words: dict[bytes, int] = {}
     owner, tokens, starts, sizes, names = [], [], [], [], []
     for name, text in items:
@@ -122,12 +121,16 @@ def prepare(items: list[tuple[str, bytes | None]], window: int = WINDOW) -> Quer
         if first[w] is None:
             first[w] = (item, p - starts[item])
     pairs = np.unique(windows[:, 0] * (len(words) + 1) + windows[:, 1]) if size.min() > 1 else np.array([], np.int64)
-    rank = np.full(len(text), -1, np.int64)
-    full = length == window
-    rank[at[full]] = place[full]
-    steps = [(codes, owner[where], where - np.array(starts)[owner[where]])
-             for codes, where in _extensions(text, rank, window, len(words))]
-    return Queries(words, windows, size, [sorted(h) for h in holders], first, names, pairs, steps)
+    order, ranges = None, np.zeros((len(windows), 2), np.int64)
+    if longest:
+        order = _suffixes(text, max(sizes))
+        rank = np.empty(len(text), np.int64)
+        rank[order] = np.arange(len(text))
+        full = length == window
+        ranges[:, 0] = len(text)
+        np.minimum.at(ranges[:, 0], place[full], rank[at[full]])
+        np.maximum.at(ranges[:, 1], place[full], rank[at[full]] + 1)
+    return Queries(words, windows, size, [sorted(h) for h in holders], first, names, pairs, text, np.array(starts), order, ranges)
 
 
 def suffix_array(tokens: np.ndarray, queries: Queries) -> tuple[np.ndarray, np.ndarray]:
@@ -180,18 +183,39 @@ def _longest(tokens: np.ndarray, at: np.ndarray, window: np.ndarray, queries: Qu
     where = np.array(queries.first, np.int64).reshape(-1, 2)[window]
     item, start = where[:, 0].copy(), where[:, 1].copy()
     alive = np.flatnonzero(length == queries.windows.shape[1])
-    rank = window[alive]
-    for step, (codes, owner, position) in enumerate(queries.longer):
-        if not len(alive):
-            break
-        ahead = at[alive] + queries.windows.shape[1] + step
+    low, high = queries.ranges[window].T.copy()  # of the suffixes that go on like the text
+    size = queries.windows.shape[1]
+    last = len(queries.text) - 1
+
+    def bound(begin: np.ndarray, end: np.ndarray, word: np.ndarray, behind: bool) -> np.ndarray:
+        begin, end = begin.copy(), end.copy()
+        while (open_ := begin < end).any():
+            middle = np.minimum((begin + end) // 2, last)
+            there = queries.text[np.minimum(queries.order[middle] + size, last)]
+            before = there <= word if behind else there < word
+            begin = np.where(open_ & before, middle + 1, begin)
+            end = np.where(open_ & ~before, middle, end)
+        return begin
+
+    grown = np.zeros(len(at), bool)
+    while len(alive):
+        ahead = at[alive] + size
         word = np.where(ahead < len(tokens), tokens[np.minimum(ahead, len(tokens) - 1)], 0)
-        code = rank * (len(queries.words) + 1) + word
-        place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-        on = (word > 0) & (codes[place] == code)
-        alive, rank = alive[on], place[on]
+        alive, word = alive[word > 0], word[word > 0]
+        begin = bound(low[alive], high[alive], word, False)
+        end = bound(begin, high[alive], word, True)
+        on = begin < end
+        alive = alive[on]
+        low[alive], high[alive] = begin[on], end[on]
+        grown[alive] = True
+        size += 1
         length[alive] += 1
-        item[alive], start[alive] = owner[rank], position[rank]
+    longer = np.flatnonzero(grown)
+    if len(longer):  # the first place of each that goes on so far
+        ends, which = np.unique(np.stack([low[longer], high[longer]], axis=1), axis=0, return_inverse=True)
+        where = np.array([queries.order[a:b].min() for a, b in ends.tolist()])[which.ravel()]
+        item[longer] = np.searchsorted(queries.starts, where, "right") - 1
+        start[longer] = where - queries.starts[item[longer]]
     return length, item, start
 
 
@@ -218,6 +242,9 @@ def scan(texts: list[bytes | None], queries: Queries | None) -> list[tuple[int,
     hit = np.concatenate([[0], np.cumsum(edge) > 0]).astype(np.int8)
     change = np.diff(hit)
     begins, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    at_hits, window_hits = at, window
+    if queries.order is None:
+        at, window = at[:0], window[:0]
     length, item, start = _longest(tokens, at, window, queries)
     # Only matches that do not lie inside the one before them are told.
     reach = np.maximum.accumulate(at + length) if len(at) else at
@@ -228,7 +255,8 @@ def scan(texts: list[bytes | None], queries: Queries | None) -> list[tuple[int,
     out = [(n, [], [], []) for n in sizes]
     for d, b, e in zip(begin_doc.tolist(), begins.tolist(), ends.tolist()):
         out[d][1].append((b - starts[d], e - starts[d]))
-    distinct = np.unique(match_doc * len(queries.windows) + window)
+    hit_doc = np.searchsorted(starts, at_hits, "right") - 1
+    distinct = np.unique(hit_doc * len(queries.windows) + window_hits)
     held: dict[int, set[int]] = {}
     for code in distinct.tolist():
         held.setdefault(code // len(queries.windows), set()).update(queries.holders[code % len(queries.windows)])
@@ -278,7 +306,8 @@ def _search_batches(batches: Batches, queries, text: int, keep: int, clean_only:
                                                          "items", "matches"])
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int,
+            longest: bool) -> list:
     """The benchmark in blocks of about `block_bytes`, one at a time on the driver."""
     items = benchmark.select(F.coalesce(column(benchmark, item_col).cast("string"), F.lit("")).alias("id"),
                              column(benchmark, text_col).cast("string").alias("text"))
@@ -287,7 +316,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     share = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
     for b in range(blocks):
         rows = (items if blocks == 1 else items.where(share == b)).collect()
-        yield prepare([(r["id"], r["text"].encode() if r["text"] is not None else None) for r in rows])
+        yield prepare([(r["id"], r["text"].encode() if r["text"] is not None else None) for r in rows], longest=longest)
 
 
 def _run(docs: DataFrame, benchmark: DataFrame, text_at: int, item_col: str, benchmark_text: str, block_bytes: int,
@@ -296,10 +325,10 @@ def _run(docs: DataFrame, benchmark: DataFrame, text_at: int, item_col: str, ben
     plain = docs.toDF(*[f"c{i}" for i in range(keep)])
     own = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
     result = plain
-    for queries in _blocks(benchmark, item_col, benchmark_text, block_bytes):
+    for queries in _blocks(benchmark, item_col, benchmark_text, block_bytes, not clean_only):
         if result is not plain and clean_only is False:
             result = at_rest(result, "decontaminate")
-        shared = spark.sparkContext.broadcast(queries)  # at most block_bytes of text
+        shared = spark.sparkContext.broadcast(queries)  # grows in proportion to a block's words
         schema = own if clean_only else f"{own}, {FOUND}"
         result = map_arrow(result, partial(_search_batches, queries=shared, text=text_at, keep=keep,
                                            clean_only=clean_only), schema)
