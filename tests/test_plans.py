@@ -54,3 +54,11 @@ def test_row_expressions_need_no_shuffle(spark, sf_dir, name):
 def test_counts_combine_before_the_shuffle(spark, sf_dir):
     plan = physical_plan(entry.queries()["word_count"](spark, sf_dir))
     assert "partial_count" in plan
+
+
+def test_minhash_query_gives_all_pairs_that_agree_in_one_hash(spark, sf_dir):
+    names = [f"h{i}" for i in range(1, 6)]
+    signed = {r["doc_id"]: [r[n] for n in names] for r in entry.queries()["minhash_signatures"](spark, sf_dir).collect()}
+    pairs = {(r["set_a"], r["set_b"]) for r in entry.queries()["neardup_exact"](spark, sf_dir).collect()}
+    found = {(r["set_a"], r["set_b"]) for r in entry.queries()["neardup_minhash"](spark, sf_dir).collect()}
+    assert found == {(a, b) for a, b in pairs if any(x == y for x, y in zip(signed[a], signed[b]))}

@@ -434,7 +434,7 @@ def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed.select(F.col("id").alias("doc_id"), *[F.col("h")[i].alias(f"h{i + 1}") for i in range(fixed.HASH_TABLES)])
 
 
-HASH_ROWS = 3  # min-hashes that must agree in a table of the index
+HASH_ROWS = 1  # min-hashes that must agree in a table of the index; one, as in the reference
 
 
 def _near(spark: SparkSession, sf_dir: str, hash_tables: int | None = None) -> neardup.NearDuplicates:
