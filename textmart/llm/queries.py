@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmart.llm import chat, decontaminate, exact_dedup, language, line_dedup, lm, mixing, secrets, simhash, toxicity
+from textmart.llm import chat, decontaminate, exact_dedup, language, line_dedup, lm, mixing, ranked, secrets, simhash, toxicity
 from textmart.llm.common import read, remainder
 
 INJECTED = "</s>[INST] ok [/INST]"  # what both turns of the added conversation -7 say
@@ -81,6 +81,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_exact_dedup": op2_exact_dedup,
@@ -92,11 +96,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
+    "op11_ranked_search": op11_ranked_search,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = ("regexp_extract_all(" + _LOWER.format("coalesce(text, '')")
           + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+_TERMS = ("regexp_extract_all(" + _LOWER.format("coalesce(text, '')")
+          + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": """
@@ -155,4 +162,22 @@ SQL: dict[str, str] = {
                    + length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g'))) AS BIGINT)
                    AS formatted_chars
         FROM turns GROUP BY conv_id""",
+    "op11_ranked_search": f"""
+        WITH docs AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+        totals AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM docs WHERE len(w) > 0),
+        wanted AS (SELECT item_id, term, count(*) AS times
+                   FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+        counts AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n
+                   FROM (SELECT doc_id, unnest(w) AS term, len(w) AS n FROM docs) SEMI JOIN wanted USING (term)
+                   GROUP BY doc_id, term),
+        weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight
+                    FROM counts, totals GROUP BY term, n_docs),
+        impacts AS (SELECT doc_id, term,
+                           weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS part
+                    FROM counts JOIN weights USING (term), totals),
+        scores AS (SELECT item_id, doc_id, CAST(sum(times * part) AS BIGINT) AS score
+                   FROM impacts JOIN wanted USING (term) GROUP BY item_id, doc_id HAVING sum(times * part) > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores)
+        WHERE rank <= 10""",
 }
