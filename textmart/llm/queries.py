@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmart.llm import align, chat, decontaminate, exact_dedup, language, line_dedup, lm, mixing, ranked, secrets, simhash, toxicity
+from textmart.llm import align, chat, decontaminate, exact_dedup, language, line_dedup, lm, mixing, ranked, secrets, simhash, suffix_dedup, toxicity
 from textmart.llm.common import read, remainder
 
 INJECTED = "</s>[INST] ok [/INST]"  # what both turns of the added conversation -7 say
@@ -89,6 +89,12 @@ def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digests(align.align(read(spark, sf_dir, "documents"))).withColumnRenamed("doc", "doc_id")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).select(
+        F.col("doc").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_exact_dedup": op2_exact_dedup,
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
     "op11_ranked_search": op11_ranked_search,
     "op12_align_tokens": op12_align_tokens,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -185,4 +192,20 @@ SQL: dict[str, str] = {
         SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores)
         WHERE rank <= 10""",
+    "op13_suffix_dedup": """
+        WITH raw AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        starts AS (SELECT r, unnest(range(length(h) // 2 - 399)) AS s FROM raw WHERE length(h) >= 800),
+        windows AS (SELECT r, s, md5(substr(h, 2 * s + 1, 800)) AS w FROM starts JOIN raw USING (r)),
+        hit AS (SELECT r, s FROM windows JOIN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1) USING (w)),
+        edges AS (SELECT r, s, coalesce(s - lag(s) OVER o > 400, true) AS opens FROM hit WINDOW o AS (PARTITION BY r ORDER BY s)),
+        spans AS (SELECT r, min(s) AS b, max(s) + 400 AS e
+                  FROM (SELECT r, s, sum(opens::INT) OVER (PARTITION BY r ORDER BY s) AS g FROM edges) GROUP BY r, g),
+        cuts AS (SELECT r, b, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY b) AS a FROM spans),
+        removed AS (SELECT r, sum(e - b) AS n_removed, count(*) AS n_spans, max(e) AS z,
+                           string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY b) AS body
+                    FROM cuts JOIN raw USING (r) GROUP BY r)
+        SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(body || substr(h, 2 * z + 1), h))) AS kept_sha256
+        FROM raw LEFT JOIN removed USING (r)""",
 }
