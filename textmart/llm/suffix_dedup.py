@@ -6,8 +6,10 @@ drops out, and after `window` bytes equal groups are exactly the repeated window
 * First digit. Of the 64-byte grams in a window, the one with the smallest hash is its anchor (the leftmost of equal
   ones); equal windows have equal anchors at equal places. The windows of one text with the same anchor make a *run* of
   neighbouring starts. Runs are dealt out by their anchor's hash, as thin rows with a digest of their bytes.
-* Runs with equal bytes are folded: all their windows are repeated, and one of them stands for all from there on. An
-  anchor with one text of a run is settled. Only runs that share an anchor and differ go on, with their bytes.
+* All windows of runs with equal bytes are repeated. A task folds the equal runs it finds before anything is shuffled, so
+  a run that is in a third of all texts is a row per task. An anchor with one text of a run is settled. Only runs that
+  share an anchor and differ go on, with their bytes, one for each text of a run. Anchors of more than 1 / SHARE of the runs
+  are dealt out by the digests of their runs.
 * Next digits. A task sorts the suffixes of its groups by digits of DIGIT bytes through `window` bytes, and drops those alone
   in their group after each digit. A digit's value is a 64-bit hash; groups that are equal at the end are compared byte by byte,
   and sorted by their bytes if a hash should have lied.
@@ -15,6 +17,8 @@ drops out, and after `window` bytes equal groups are exactly the repeated window
   out by the bytes that all their windows share, a longer digit; and if that is not enough, into single windows,
   whose equal ones are just counted. So no group of unbounded size meets in one place, at any number of copies.
 
+Texts are read where they lie, and known by a digest of id and text; they are packed when they are joined with their runs or spans.
+
 Cases: null is empty; nothing is removed from texts of fewer than `window` bytes. Repeated rows are copies of each other,
 also if ids repeat. Overlaps count, in one text, too (`aaaa...`). A cut may fall inside a character: the kept bytes are
 given as binary. Long texts take memory in proportion in one task. Other columns are ignored.
@@ -27,12 +31,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmart.llm.common import Batches, as_bytes, at_rest, column, map_arrow
-from textmart.operators.joins import join_weighted
 from textmart.sources.tables import spread
 
 WINDOW = 400
@@ -42,6 +46,7 @@ GROUP = 1_000
 PART = 16
 BATCH_BYTES = 8 << 20
 BATCH_RUNS = 50_000
+SHARE = 2_000
 
 _RNG = np.random.default_rng(20240613)
 _CODES = _RNG.integers(0, 1 << 64, 256, np.uint64)
@@ -88,30 +93,44 @@ def _runs(text: bytes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray,
 
 
 class _Rows:
-    """Runs of several texts, given out in batches."""
+    """Runs of several texts, given out in batches in which equal ones are folded."""
 
     def __init__(self, window: int):
-        self.window, self.parts, self.held = window, [], 0
+        self.window, self.parts, self.digests, self.held = window, [], [], 0
 
-    def add(self, text: bytes, row: int, start: np.ndarray, count: np.ndarray, lead: np.ndarray, key: np.ndarray) -> None:
-        digests = [_digest(text[s:e]) for s, e in zip(start.tolist(), (start + count + (self.window - 1)).tolist())]
-        self.parts.append((key, digests, np.full(len(start), row), start, count, lead))
+    def add(self, text: bytes, row: bytes, start: np.ndarray, count: np.ndarray, lead: np.ndarray, key: np.ndarray) -> None:
+        self.digests += [_digest(text[s:e]) for s, e in zip(start.tolist(), (start + count + (self.window - 1)).tolist())]
+        self.parts.append((key, np.full(len(start), np.void(row)), start, count, lead))
         self.held += len(start)
 
     def take(self) -> pa.RecordBatch:
-        key, digests, row, start, count, lead = zip(*self.parts)
-        self.parts, self.held = [], 0
+        """A row for each different run, with its copies; then one without digest for each run that has copies here."""
+        key, row, start, count, lead = (np.concatenate(x) for x in zip(*self.parts))
+        digest = np.frombuffer(b"".join(self.digests), "V16")
+        self.parts, self.digests, self.held = [], [], 0
+        halves = digest.view(np.uint64).reshape(-1, 2)
+        order = np.lexsort(halves.T)
+        opens = np.append(True, (halves[order[1:]] != halves[order[:-1]]).any(axis=1))
+        copies = np.diff(np.append(np.flatnonzero(opens), len(order)))
+        first, settled = order[opens], order[np.repeat(copies > 1, copies)]
+        at = np.concatenate([first, settled])
         return pa.record_batch({
-            "key": np.concatenate(key), "digest": pa.array([d for listed in digests for d in listed], pa.binary()),
-            "row": np.concatenate(row), "start": np.concatenate(start).astype(np.int64), "count": np.concatenate(count).astype(np.int32),
-            "lead": np.concatenate(lead).astype(np.int32)})
+            "key": key[at], "digest": _binary(digest[at], 16, len(first)), "row": _binary(row[at], 16, len(at)),
+            "start": start[at].astype(np.int64), "count": count[at].astype(np.int32), "lead": lead[at].astype(np.int32),
+            "copies": np.concatenate([copies, np.zeros(len(settled))]).astype(np.int32)})
+
+
+def _binary(values: np.ndarray, size: int, valid: int) -> pa.Array:
+    """Values of one size as binary; null from the `valid`-th on."""
+    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(values), [None, pa.py_buffer(values.tobytes())])
+    return pa.concat_arrays([fixed[:valid].cast(pa.binary()), pa.nulls(len(values) - valid, pa.binary())])
 
 
 def _first_digit(batches: Batches, window: int, gram: int) -> Batches:
     rows = _Rows(window)
     for batch in batches:
         for row, text in zip(batch["row"].to_pylist(), as_bytes(batch["text"])):
-            if text is not None and len(text) >= window:
+            if len(text) >= window:
                 found = _runs(text, window, gram)
                 for begin in range(0, len(found[0]), BATCH_RUNS):  # of a very long text
                     rows.add(text, row, *[x[begin:begin + BATCH_RUNS] for x in found])
@@ -121,7 +140,20 @@ def _first_digit(batches: Batches, window: int, gram: int) -> Batches:
         yield rows.take()
 
 
-_RUN = "key long, digest binary, row long, start long, count int, lead int"
+_RUN = "key long, digest binary, row binary, start long, count int, lead int, copies int"
+
+
+def _pack(batches: Batches) -> Batches:
+    packer = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = pa.array(list(map(packer.compress, as_bytes(batch["text"]))), pa.binary())
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, "text", packed)
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    unpacker = zstandard.ZstdDecompressor()
+    return [unpacker.decompress(text) for text in column.to_pylist()]
 
 
 def _next_digit(batches: Batches, window: int, part: int) -> Batches:
@@ -132,7 +164,7 @@ def _next_digit(batches: Batches, window: int, part: int) -> Batches:
     """
     rows = _Rows(window)
     for batch in batches:
-        for row, text, runs in zip(batch["row"].to_pylist(), as_bytes(batch["text"]), batch["runs"].to_pylist()):
+        for row, text, runs in zip(batch["row"].to_pylist(), _unpacked(batch["text"]), batch["runs"].to_pylist()):
             for run in runs:
                 # Blocks of `part` places before the anchor: the same ones in every text.
                 lead = run["lead"] - np.arange(run["count"])
@@ -150,18 +182,23 @@ def _next_digit(batches: Batches, window: int, part: int) -> Batches:
 def _bytes_of(batches: Batches, window: int) -> Batches:
     """The bytes of the listed runs of each text."""
     for batch in batches:
-        for row, text, runs in zip(batch["row"].to_pylist(), as_bytes(batch["text"]), batch["runs"].to_pylist()):
-            for begin in range(0, len(runs), 10_000):
-                some = runs[begin:begin + 10_000]
-                yield pa.record_batch({
-                    "key": pa.array([r["key"] for r in some], pa.int64()), "row": np.full(len(some), row),
-                    "start": pa.array([r["start"] for r in some], pa.int64()),
-                    "count": pa.array([r["count"] for r in some], pa.int32()),
-                    "alone": pa.array([r["alone"] for r in some], pa.bool_()),
-                    "bytes": pa.array([text[r["start"]:r["start"] + r["count"] - 1 + window] for r in some], pa.binary())})
+        keys, rows, starts, counts, alone, pieces = [], [], [], [], [], []
+        for row, text, runs in zip(batch["row"].to_pylist(), _unpacked(batch["text"]), batch["runs"].to_pylist()):
+            keys += [r["key"] for r in runs]
+            rows += [row] * len(runs)
+            starts += [r["start"] for r in runs]
+            counts += [r["count"] for r in runs]
+            alone += [r["alone"] for r in runs]
+            pieces += [text[r["start"]:r["start"] + r["count"] - 1 + window] for r in runs]
+        for begin in range(0, len(keys), BATCH_RUNS):
+            end = begin + BATCH_RUNS
+            yield pa.record_batch({
+                "key": pa.array(keys[begin:end], pa.int64()), "row": pa.array(rows[begin:end], pa.binary()),
+                "start": pa.array(starts[begin:end], pa.int64()), "count": pa.array(counts[begin:end], pa.int32()),
+                "alone": pa.array(alone[begin:end], pa.bool_()), "bytes": pa.array(pieces[begin:end], pa.binary())})
 
 
-_BYTES = "key long, row long, start long, count int, alone boolean, bytes binary"
+_BYTES = "key long, row binary, start long, count int, alone boolean, bytes binary"
 
 
 def repeated_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray, window: int, digit: int = DIGIT) -> np.ndarray:
@@ -228,7 +265,7 @@ def _sort_groups(batches: Batches, window: int) -> Batches:
         begins = np.append(True, (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])) if len(at) else np.zeros(0, bool)
         begin, number = at[begins], np.diff(np.append(np.flatnonzero(begins), len(at)))
         start = table["start"].to_numpy()[owner[begin]] + inside[begin]
-        return pa.record_batch({"row": table["row"].to_numpy()[owner[begin]], "start": start, "end": start + number - 1 + window})
+        return pa.record_batch({"row": table["row"].combine_chunks().take(pa.array(owner[begin])), "start": start, "end": start + number - 1 + window})
 
     for batch in batches:
         if not batch.num_rows:
@@ -243,49 +280,76 @@ def _sort_groups(batches: Batches, window: int) -> Batches:
         yield settle(pa.Table.from_batches(held))
 
 
-_SPAN = "row long, start long, end long"
+_SPAN = "row binary, start long, end long"
+
 
+def _frequent(batches: Batches) -> Batches:
+    """The anchors that have more than 1 / SHARE of a task's runs; few anchors have more than four of them."""
+    keys = [batch["key"].to_numpy() for batch in batches]
+    if keys:
+        values, n = np.unique(np.concatenate(keys), return_counts=True)
+        often = n > max(4, n.sum() // SHARE)
+        yield pa.record_batch({"key": values[often], "n": n[often]})
 
-def _listed(texts: DataFrame, runs: DataFrame) -> DataFrame:
+
+def _listed(packed: DataFrame, runs: DataFrame) -> DataFrame:
     """Texts with the list of their `runs`: no more than a text has windows."""
-    return texts.join(runs.groupBy("row").agg(F.collect_list(F.struct("key", "start", "count", "lead", "alone")).alias("runs")), "row")
+    return packed.join(runs.groupBy("row").agg(F.collect_list(F.struct("key", "start", "count", "lead", "alone")).alias("runs")), "row")
 
 
-def _copied(runs: DataFrame, folded: DataFrame, window: int) -> DataFrame:
-    """The spans of all runs that have copies. Runs of very many copies are looked up without a shuffle."""
-    copied = at_rest(folded.where("copies > 1").select("digest", "copies"), "copied-runs")
-    repeated = join_weighted(runs.select("digest", "row", "start", "count"), copied, "digest", "copies")
-    return repeated.select("row", "start", (F.col("start") + F.col("count") - 1 + window).alias("end"))
+def _settle(runs: DataFrame, group: int, last: bool) -> DataFrame:
+    """The runs that have copies, and those that share an anchor with different ones: (key, row, start, count, lead, copied, alone, rival, large).
+
+    `copied`: the run is repeated, which its task did not know. `rival`: the run stands for all its copies among
+    others of its anchor; `large` if these are too many for one task.
+    """
+    held = runs.where("copies > 0")
+    counted = map_arrow(held.select("key"), _frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # Each task lists fewer than SHARE anchors, and fewer than 10 * SHARE have so large a share of all runs.
+    hot = at_rest(counted.where(F.col("n") * (10 * SHARE) > held.count()).select("key", F.lit(True).alias("hot")), "hot-anchors")
+    hot_key = F.coalesce("hot", F.lit(False))
+    dealt = held.join(F.broadcast(hot), "key", "left").withColumns(
+        {"hot": hot_key, "deal": F.when(hot_key, F.xxhash64("digest")).otherwise(F.col("key"))}).repartition("deal")
+    equal = Window.partitionBy("deal", "key", "digest")
+    counted = dealt.withColumns({
+        "total": F.sum("copies").over(equal), "place": F.row_number().over(equal.orderBy("row", "start"))})
+    counted = counted.withColumn("different", F.sum(F.when(F.col("place") == 1, 1)).over(Window.partitionBy("deal", "key")))
+    copied, alone = (F.col("total") > 1) & (F.col("copies") == 1), F.col("total") == 1
+    rival = (F.col("place") == 1) & (F.col("hot") | (F.col("different") > 1))
+    large = F.lit(False) if last else F.col("hot") | (F.col("different") > group)
+    return at_rest(counted.where(copied | rival).select(
+        "key", "row", "start", "count", "lead", copied.alias("copied"), alone.alias("alone"), rival.alias("rival"),
+        large.alias("large")), "settled-runs")
 
 
 def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, part: int = PART) -> DataFrame:
-    """The spans of `texts` (row, text; at rest) covered by repeated windows: (row, start, end) in bytes; they may overlap."""
+    """The spans of `texts` (row, text) covered by repeated windows: (row, start, end) in bytes; they may overlap.
+
+    `row` is binary, 16 bytes, and tells apart all rows but those that repeat.
+    """
     digits = [partial(_next_digit, window=window, part=size) for size in (part, 1)]
+    packed = map_arrow(texts.where(F.octet_length("text") >= window), _pack, "row binary, text binary", BATCH_BYTES)
     runs = at_rest(map_arrow(texts, partial(_first_digit, window=window, gram=gram), _RUN, BATCH_BYTES), "runs")
+    span = ["row", "start", (F.col("start") + F.col("count") - 1 + window).alias("end")]
     spans = None
     while True:
-        # Equal runs become one row, so an anchor has as many rows as it has different runs.
-        folded = at_rest(runs.groupBy("key", "digest").agg(
-            F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start", "count", "lead")).alias("run")), "folded-runs")
-        shared = folded.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
-        rivals = at_rest(folded.join(shared, "key").select(
-            "key", "run.*", (F.col("copies") == 1).alias("alone"), "different"), "rival-runs")
-        fit = F.col("different") <= group if digits else F.lit(True)  # whole windows share a key by chance alone
-        together = map_arrow(_listed(texts, rivals.where(fit)), partial(_bytes_of, window=window), _BYTES, BATCH_BYTES)
+        settled = _settle(runs, group, last=not digits)
+        rivals = settled.where("rival")
+        together = map_arrow(_listed(packed, rivals.where("NOT large")), partial(_bytes_of, window=window), _BYTES, BATCH_BYTES)
         ordered = together.repartition("key").sortWithinPartitions("key")
-        found = _copied(runs, folded, window).unionByName(
+        found = runs.where("copies = 0").select(*span).unionByName(settled.where("copied").select(*span)).unionByName(
             map_arrow(ordered, partial(_sort_groups, window=window), _SPAN, BATCH_BYTES))
         spans = found if spans is None else spans.unionByName(found)
-        large = rivals.where(~fit)
-        if not digits or large.isEmpty():
+        large = rivals.where("large")
+        if large.isEmpty():
             return spans
-        runs = at_rest(map_arrow(_listed(texts, large), digits.pop(0), _RUN, BATCH_BYTES), "runs")
+        runs = at_rest(map_arrow(_listed(packed, large), digits.pop(0), _RUN, BATCH_BYTES), "runs")
 
 
 def _remove(batches: Batches) -> Batches:
     for batch in batches:
         kept, removed, listed = [], [], []
-        for text, spans in zip(as_bytes(batch["text"]), batch["spans"].to_pylist()):
+        for text, spans in zip(_unpacked(batch["text"]), batch["spans"].to_pylist()):
             merged: list[list[int]] = []
             for start, end in sorted((s["start"], s["end"]) for s in spans or ()):
                 if merged and start <= merged[-1][1]:
@@ -306,11 +370,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                    gram: int = GRAM, group: int = GROUP, part: int = PART) -> DataFrame:
     """(doc, n_bytes, n_removed, kept, spans), a row per document: what stays of its bytes, and the maximal removed spans."""
     gram = min(gram, 1 << (window // 2).bit_length() - 1) if window > 1 else 1
-    texts = spread(docs.select(column(docs, id_col).alias("doc"),
-                               F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text")))
-    texts = at_rest(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+    text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
+    docs = spread(docs.select(column(docs, id_col).alias("doc"), text.alias("text")))
+    name = F.col("doc").cast("string")
+    named = F.concat(F.coalesce(F.length(name).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(name, F.lit("")), "text")
+    texts = docs.withColumn("row", F.unhex(F.md5(named)))
     spans = repeated_spans(texts.select("row", "text"), window, gram, group, part)
-    listed = texts.join(spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "row", "left")
+    packed = map_arrow(texts, _pack, T.StructType([texts.schema["doc"], *T._parse_datatype_string("text binary, row binary").fields]), BATCH_BYTES)
+    listed = packed.join(spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "row", "left")
     schema = T.StructType([texts.schema["doc"], *T._parse_datatype_string(
         "n_bytes long, n_removed long, kept binary, spans array<struct<start: long, end: long>>").fields])
     return map_arrow(listed.select("doc", "text", "spans"), _remove, schema, BATCH_BYTES)
