@@ -92,3 +92,4 @@ TOP_CONTENT_WORDS = 200
 TOP_SUBJECT_WORDS = 100
 TOP_NGRAMS = 100
 NGRAM_SIZE = 3
+VOCABULARY_SIZE = 1 << 18

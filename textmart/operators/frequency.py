@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmart.functions import fixed_values as fixed
 from textmart.functions import text as tx
-from textmart.operators.joins import join_weighted
+from textmart.operators.joins import join_weighted, lookup
 from textmart.sources.tables import materialize
 
 
@@ -48,7 +48,51 @@ def ngram_frequency(df: DataFrame, words: Column, size: int = fixed.NGRAM_SIZE)
     )
 
 
-def _document_terms(df: DataFrame, keep: Sequence[str], words: Column) -> DataFrame:
+def top_frequent(rows: DataFrame, key: Column, code: Column, k: int, name: str) -> DataFrame:
+    """The k most frequent values of `key`, a text, with their counts: (name, n); ties go to the smaller one.
+
+    Only `code`, a 64-bit hash of the key, is counted and shuffled for all rows; then the keys whose code occurs as often as
+    the k-th code are made and counted by themselves. Keys of one code have their sum there, so no key is counted too
+    low. If such sums have raised the bar above the k-th key, it is lowered to that key and the keys are counted again.
+    If fewer than k codes repeat, all keys are counted. `rows` is read twice, so it should be cheap to read.
+    """
+    coded = rows.withColumn("_code", code)
+    counts = coded.groupBy("_code").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts.where("n > 1"), "code-counts")
+
+    def kth(df: DataFrame) -> int:
+        found, least = df.orderBy(F.desc("n")).select("n").limit(k).agg(F.count("n"), F.min("n")).first()
+        return least if found == k else 1
+
+    def counted(least: int) -> DataFrame:
+        found = rows if least == 1 else lookup(coded, counts.where(F.col("n") >= least).select("_code"), ["_code"], "inner")
+        return materialize(found.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n")), "top-counts")
+
+    least = kth(counts)
+    found = counted(least)
+    lower = least if least == 1 else kth(found)
+    return top_k(found if lower >= least else counted(lower), "n", name, k)
+
+
+def top_ngrams(df: DataFrame, words: Column, k: int, size: int = fixed.NGRAM_SIZE) -> DataFrame:
+    """The k most frequent n-gram prefixes: (ngram, n), as `ngram_frequency` counts them.
+
+    The words of the texts are written down once. Texts of n-grams are made for the frequent ones alone.
+    """
+    words = materialize(df.select(words.alias("words")), "ngram-words").where(F.size("words") >= size)
+    starts = F.slice("words", F.lit(1), F.size("words") - (size - 1))
+    windows = words.select("words", F.posexplode(starts).alias("at", "w0")).select(
+        "w0", *[F.get("words", F.col("at") + i).alias(f"w{i}") for i in range(1, size)])
+    rows = windows.select("*", F.explode(F.lit(list(range(1, size + 1)))).alias("length"))
+
+    def of_length(made: Callable[..., Column]) -> Column:
+        return F.coalesce(*[F.when(F.col("length") == n, made(*[F.col(f"w{i}") for i in range(n)])) for n in range(1, size + 1)])
+
+    # Words hold no space: a text and its words stand for each other.
+    return top_frequent(rows, of_length(lambda *w: F.concat_ws(" ", *w)), of_length(F.xxhash64), k, "ngram")
+
+
+def document_terms(df: DataFrame, keep: Sequence[str], words: Column) -> DataFrame:
     """Each document's terms with their frequency, and one row with a null term: (*keep, term, tf).
 
     Sorting a document's words puts equal ones side by side, so its terms are the runs of that
@@ -86,14 +130,14 @@ def tfidf_ranking(df: DataFrame, words: Column) -> DataFrame:
 
     A term has one idf, so the sum is its number of occurrences times its idf.
     """
-    frequencies = _frequencies(_document_terms(df, [], words))
+    frequencies = _frequencies(document_terms(df, [], words))
     return frequencies.where("term is not null").select(
         "term", (F.col("occurrences") * _idf(frequencies)).alias("score"))
 
 
 def tfidf_terms(df: DataFrame, id_col: str, words: Column) -> DataFrame:
     """Each document's terms: (id, term, tf, score)."""
-    terms = materialize(_document_terms(df, [id_col], words), "document-terms")
+    terms = materialize(document_terms(df, [id_col], words), "document-terms")
     frequencies = _frequencies(terms)
     scored = frequencies.where("term is not null").select("term", "documents", _idf(frequencies).alias("idf"))
     return join_weighted(terms.where("term is not null"), scored, "term", "documents").select(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmart.sources.tables import materialize
+from textmart.operators.selection import exact_quantiles
 
 QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -16,25 +16,11 @@ QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 def quantiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact quantiles of number columns: (column, p25, p50, p75), the smallest values of at least that rank.
 
-    Values are counted (combined before the shuffle) and dealt out by ranges; a value's rank is what earlier
-    ranges hold, one number per range and column, and what its own range holds before it.
+    Read at once; the result is a row per column.
     """
-    values = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])))
-    counts = values.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    # Range bounds come from a sample: write the placement down so that it is drawn only once.
-    placed = materialize(
-        counts.repartitionByRange("column", "value").withColumn("_part", F.spark_partition_id()), "profile-values")
-    ranges = placed.groupBy("column", "_part").agg(F.sum("n").alias("_held"))
-    ahead = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select(
-        "column", "_part", F.coalesce(F.sum("_held").over(ahead), F.lit(0)).alias("_before"),
-        F.sum("_held").over(Window.partitionBy("column")).alias("_all"))
-    inside = Window.partitionBy("column", "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(F.broadcast(offsets), ["column", "_part"]).withColumn(
-        "_rank", F.col("_before") + F.sum("n").over(inside))
-    return ranked.groupBy("column").agg(*[
-        F.min(F.when(F.col("_rank") >= F.ceil(F.col("_all") * q), F.col("value"))).alias(name) for name, q in QUANTILES.items()])
+    found = exact_quantiles(df, columns, list(QUANTILES.values()))
+    schema = T.StructType([T.StructField("column", T.StringType()), *[T.StructField(q, T.DoubleType()) for q in QUANTILES]])
+    return df.sparkSession.createDataFrame([(c, *found[c]) for c in columns], schema)
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

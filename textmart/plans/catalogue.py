@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from textmart.functions import dates
 from textmart.functions import fixed_values as fixed
 from textmart.functions import text as tx
-from textmart.operators import classify, frequency, ids, neardup, resolve
+from textmart.operators import classify, frequency, ids, neardup, resolve, vocabulary
 from textmart.operators.profile import profile
 from textmart.plans import mart
 from textmart.sources import manifest, tables
@@ -398,7 +398,8 @@ def ngram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.top_k(ngram_count(spark, sf_dir), "n", "ngram", fixed.TOP_NGRAMS)
+    words = frequency.ngram_words(F.col("text"), STOP_WORDS)
+    return frequency.top_ngrams(documents(spark, sf_dir, "text"), words, fixed.TOP_NGRAMS)
 
 
 def _report_words() -> Column:
@@ -426,6 +427,43 @@ def tfidf_hashed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round("score", 4).alias("score"))
 
 
+# --- vocabularies and vectors ---
+
+VOCABULARY = 500  # a size that cuts, among terms of equal counts, too
+
+
+def _token_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir, "text").where(tx.has_words(F.col("text")))
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str, size: int | None = fixed.VOCABULARY_SIZE, min_rows: int = 1) -> DataFrame:
+    return vocabulary.vocabulary(_token_docs(spark, sf_dir), tx.tokenize_whitespace(F.col("text")), size, min_rows)
+
+
+def vocabulary_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocabulary(spark, sf_dir)
+
+
+def vocabulary_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent of the terms that at least two documents have."""
+    return _vocabulary(spark, sf_dir, VOCABULARY, 2)
+
+
+def _vectors(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    docs, words = _token_docs(spark, sf_dir), tx.tokenize_whitespace(F.col("text"))
+    return vocabulary.vectors(docs, "doc_id", words, _vocabulary(spark, sf_dir, size))
+
+
+def binary_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir, fixed.VOCABULARY_SIZE).select(
+        "doc_id", F.size("indices").alias("n_terms"), F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"))
+
+
+def count_vectors_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = F.transform(F.arrays_zip("indices", "counts"), lambda e: F.concat_ws(":", e["indices"], e["counts"]))
+    return _vectors(spark, sf_dir, VOCABULARY).select("doc_id", F.array_join(entry, ",").alias("entries"))
+
+
 # --- near duplicates ---
 
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -514,6 +552,10 @@ QUERIES: dict[str, Query] = {
     "tfidf_terms": tfidf_terms,
     "tfidf_hashed": tfidf_hashed,
     "tfidf_hashed_terms": tfidf_hashed_terms,
+    "vocabulary_fit": vocabulary_fit,
+    "vocabulary_cut": vocabulary_cut,
+    "binary_vectors": binary_vectors,
+    "count_vectors_cut": count_vectors_cut,
     "minhash_signatures": minhash_signatures,
     "neardup_exact": neardup_exact,
     "neardup_minhash": neardup_minhash,

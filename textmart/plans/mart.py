@@ -203,7 +203,7 @@ def tfidf_report(facts: DataFrame, stop_words: Sequence[str], drop: str = fixed.
 def ngram_report(facts: DataFrame, stop_words: Sequence[str], k: int = fixed.TOP_NGRAMS) -> DataFrame:
     stops = [*stop_words, *fixed.REPORT_STOP_WORDS, *fixed.NGRAM_STOP_WORDS]
     words = frequency.ngram_words(F.col("question_content"), stops)
-    return frequency.top_k(frequency.ngram_frequency(facts, words), "n", "ngram", k)
+    return frequency.top_ngrams(facts, words, k)
 
 
 def find_duplicates(facts: DataFrame, max_distance: float = fixed.MAX_DISTANCE,

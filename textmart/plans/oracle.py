@@ -235,6 +235,26 @@ SELECT d.name, d.grp, d.term,
 FROM direct d LEFT JOIN found f ON d.name = f.name AND d.grp = f.grp AND d.term = f.term
 """
 
+def _vocabulary(size: int, min_rows: int = 1) -> str:
+    return rf"""
+    token_docs AS (
+        SELECT doc_id, regexp_split_to_array(
+            rtrim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\s') AS words
+        FROM documents WHERE text = '' OR regexp_matches(text, '\S')),
+    term_counts AS (
+        SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS term FROM token_docs) GROUP BY doc_id, term),
+    vocabulary AS (
+        SELECT term, (row_number() OVER (ORDER BY sum(tf) DESC, term) - 1)::INT AS index, sum(tf)::BIGINT AS occurrences, count(*) AS rows
+        FROM term_counts GROUP BY term HAVING count(*) >= {min_rows} ORDER BY index LIMIT {size})"""
+
+
+def _vectors(size: int, entry: str, columns: str) -> str:
+    return f"""WITH {_vocabulary(size)},
+        entries AS (SELECT doc_id, count(*)::INT AS n, string_agg({entry}, ',' ORDER BY index) AS listed
+                    FROM term_counts JOIN vocabulary USING (term) GROUP BY doc_id)
+        SELECT doc_id, {columns} FROM token_docs LEFT JOIN entries USING (doc_id)"""
+
+
 SPACED = (r"\\[tnr]|[\t\n\r]", " ")
 
 
@@ -337,6 +357,10 @@ SQL: dict[str, str] = {
     "tfidf_hashed": f"{BUCKETS} SELECT term_index, round(total * idf, 4) AS score FROM idf",
     "tfidf_hashed_terms": f"""{BUCKETS} SELECT doc_id, tf.term_index, tf.tf, round(tf.tf * idf, 4) AS score
         FROM tf JOIN idf ON tf.term_index = idf.term_index""",
+    "vocabulary_fit": f"WITH {_vocabulary(1 << 18)} SELECT * FROM vocabulary",
+    "vocabulary_cut": f"WITH {_vocabulary(c.VOCABULARY, 2)} SELECT * FROM vocabulary",
+    "binary_vectors": _vectors(1 << 18, "index", "coalesce(n, 0) AS n_terms, coalesce(listed, '') AS indices"),
+    "count_vectors_cut": _vectors(c.VOCABULARY, "index || ':' || tf", "coalesce(listed, '') AS entries"),
     "minhash_signatures": f"WITH {WORD_SETS} SELECT doc_id, {_signature(5)} FROM docs",
     "neardup_exact": f"""WITH {SETS}, {_pairs("sets", "set_id")} {SET_PAIRS.format(agree="")}""",
     "neardup_minhash": f"""WITH {SETS}, {_pairs("sets", "set_id")},
