@@ -144,9 +144,16 @@ FROM pairs JOIN sets sa ON a = sa.set_id JOIN sets sb ON b = sb.set_id WHERE a <
 UNION ALL
 SELECT set_id, set_id, copies, copies, 0.0::DOUBLE FROM sets WHERE copies > 1
 """
-AGREE = "AND (" + " OR ".join(
-    "(" + " AND ".join(f"ha.h{t * c.HASH_ROWS + r + 1} = hb.h{t * c.HASH_ROWS + r + 1}" for r in range(c.HASH_ROWS)) + ")"
-    for t in range(5)) + ")"
+
+
+def _minhash_pairs(tables: int, rows: int) -> str:
+    agree = " OR ".join("(" + " AND ".join(f"ha.h{t * rows + r + 1} = hb.h{t * rows + r + 1}" for r in range(rows)) + ")"
+                        for t in range(tables))
+    signed = "ON b = sb.set_id JOIN signed ha ON a = ha.set_id JOIN signed hb ON b = hb.set_id"
+    return f"""WITH {SETS}, {_pairs("sets", "set_id")}, signed AS (SELECT set_id, {_signature(tables * rows)} FROM sets)
+        {SET_PAIRS.format(agree=f"AND ({agree})").replace("ON b = sb.set_id", signed)}"""
+
+
 DUPLICATES = f"""WITH {WORD_SETS}, {_pairs("docs", "doc_id")},
 found AS (SELECT a AS doc_id, count(*) AS n FROM pairs GROUP BY a)
 """
@@ -363,9 +370,22 @@ SQL: dict[str, str] = {
     "count_vectors_cut": _vectors(c.VOCABULARY, "index || ':' || tf", "coalesce(listed, '') AS entries"),
     "minhash_signatures": f"WITH {WORD_SETS} SELECT doc_id, {_signature(5)} FROM docs",
     "neardup_exact": f"""WITH {SETS}, {_pairs("sets", "set_id")} {SET_PAIRS.format(agree="")}""",
-    "neardup_minhash": f"""WITH {SETS}, {_pairs("sets", "set_id")},
-        signed AS (SELECT set_id, {_signature(5 * c.HASH_ROWS)} FROM sets)
-        {SET_PAIRS.format(agree=AGREE).replace("ON b = sb.set_id", "ON b = sb.set_id JOIN signed ha ON a = ha.set_id JOIN signed hb ON b = hb.set_id")}""",
+    "neardup_minhash": _minhash_pairs(5, c.HASH_ROWS),
+    "neardup_banded": _minhash_pairs(c.BANDS, c.BAND_ROWS),
+    "neardup_between": rf"""WITH {SETS},
+        cut AS (SELECT doc_id, regexp_replace(text, '^[^\n]*\n', '') AS text FROM documents),
+        cut_docs AS (
+            SELECT doc_id, list_sort(list_distinct(regexp_split_to_array(
+                rtrim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\s'))) AS w
+            FROM cut WHERE text = '' OR regexp_matches(text, '\S')),
+        cut_sets AS (SELECT min(doc_id) AS set_id, count(*) AS copies, w FROM cut_docs GROUP BY w),
+        x AS (SELECT set_id, copies, len(w) AS n, unnest(w) AS word FROM cut_sets),
+        y AS (SELECT set_id, copies, len(w) AS n, unnest(w) AS word FROM sets),
+        met AS (
+            SELECT x.set_id AS set_a, y.set_id AS set_b, any_value(x.copies) AS copies_a, any_value(y.copies) AS copies_b,
+                   1.0::DOUBLE - count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)) AS distance
+            FROM x JOIN y ON x.word = y.word GROUP BY x.set_id, y.set_id)
+        SELECT set_a, set_b, copies_a, copies_b, round(distance, 6) AS distance FROM met WHERE distance < 0.2::DOUBLE""",
     "neardup_rows": f"""WITH {SETS}, {_pairs("sets", "set_id")},
         near AS (
             SELECT a AS set_id, b AS near_set_id, distance FROM pairs
