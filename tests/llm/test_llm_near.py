@@ -203,3 +203,18 @@ def test_chat_digests(spark, part_bytes):
     if part_bytes == 500:
         assert formatted.where("conv_id = 50").count() > 10
     assert chat.digests(chat.format_conversations(table.limit(0))).count() == 0
+
+
+def test_parts_are_linked_at_any_distance_within_a_block(spark):
+    filler = "filler line\n" * 900  # over 10,000 code points without a blank line
+    text = f"login: someone\n{filler}{KEY}\n"
+    kinds = [s[2] for s in secrets.spans_of(text, reach=None)]
+    assert "linked_identifier" in kinds and "linked_secret" in kinds
+    assert not any(k.startswith("linked") for k in [s[2] for s in secrets.spans_of(text.replace(filler, filler + "\n"), reach=None)])
+    assert not any(k.startswith("linked") for k in [s[2] for s in secrets.spans_of(text, reach=400)])
+
+
+def test_secrets_keep_the_type_of_ids(spark):
+    docs = spark.createDataFrame([("a", "password = hunter22"), (None, None)], "doc_id string, text string")
+    rows = {r["doc_id"]: r["n_assign"] for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert rows == {"a": 1, None: 0}

@@ -78,7 +78,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents"), reach=None))
 
 
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:

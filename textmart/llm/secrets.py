@@ -5,9 +5,9 @@ endpoints that alone are no finding (`WEAK`). The parts of a text are intervals;
 binary search) links each access identifier to the secrets and endpoints within its scope, and only parts whose
 complements co-occur there are reported.
 
-A scope is a run of text without a blank line, and in it at most `reach` code points between two parts. Each text is
-one row and is scanned whole where it lies: no shuffle, no candidate pairs; parts are linked by interval bounds and
-counts, so a text that is one long list of identifiers costs no more than its length times a logarithm.
+A scope is a run of text without a blank line, and in it at most `reach` code points between two parts; with reach=None,
+as the registered query has it, only the structure bounds it. Each text is one row and is scanned whole where it lies: no shuffle, no candidate pairs; parts are linked by
+interval bounds and counts, so a text that is one long list of identifiers costs no more than its length times a logarithm.
 
 Cases: null texts are empty and have no spans. Spans are in code points, end exclusive. Repeated rows each get their
 row. Other columns are ignored.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from textmart.llm.common import Batches, column, map_arrow
 
 KINDS = ("assign", "access", "hex")
-REACH = 400
+REACH = 400  # unless the caller says otherwise; None: as far as the scope goes
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                      re.ASCII | re.IGNORECASE)
@@ -77,7 +77,7 @@ def _has_any(parts: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return np.where(first < len(parts), least[np.minimum(first, len(parts) - 1)], np.iinfo(np.int64).max) <= high
 
 
-def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH) -> list[tuple[int, int, str]]:
+def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int | None = REACH) -> list[tuple[int, int, str]]:
     """The weak parts whose complements lie in their scope; base spans are not repeated."""
     parts: dict[str, set[tuple[int, int]]] = {k: set() for k in _WEAK_ORDER}
     for s, e, kind in base:
@@ -98,8 +98,10 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
 
     def scope(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(cuts, spans[:, 0], "right")
-        return (np.maximum(cuts[at - 1], spans[:, 0] - reach),
-                np.minimum(cuts[np.minimum(at, len(cuts) - 1)], spans[:, 1] + reach))
+        low, high = cuts[at - 1], cuts[np.minimum(at, len(cuts) - 1)]
+        if reach is None:
+            return low, high
+        return np.maximum(low, spans[:, 0] - reach), np.minimum(high, spans[:, 1] + reach)
 
     # Identifiers with a secret in scope; then secrets and endpoints with such an identifier in scope.
     ids = table["identifier"]
@@ -125,7 +127,7 @@ def _outside(spans: list[tuple[int, int]], busy: list[tuple[int, int]]) -> list[
     return [span for span, f in zip(spans, free.tolist()) if f]
 
 
-def spans_of(text: str | None, reach: int = REACH) -> list[tuple[int, int, str, bool]]:
+def spans_of(text: str | None, reach: int | None = REACH) -> list[tuple[int, int, str, bool]]:
     """All spans of a text: (start, end, kind, whether it is a base one), by start, base first."""
     if not text:
         return []
@@ -136,7 +138,7 @@ def spans_of(text: str | None, reach: int = REACH) -> list[tuple[int, int, str,
     return sorted(every, key=lambda s: (s[0], order.index(s[2])))
 
 
-def _scan(batches: Batches, reach: int) -> Batches:
+def _scan(batches: Batches, reach: int | None) -> Batches:
     for batch in batches:
         found = [spans_of(t, reach) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([
@@ -148,7 +150,7 @@ def _scan(batches: Batches, reach: int) -> Batches:
         ], names=["id", "kinds", "starts", "ends", "base"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = REACH) -> DataFrame:
     """Per document row: `id_col` and its spans as parallel arrays kinds, starts, ends, base (false: linked)."""
     chosen = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
@@ -172,6 +174,7 @@ def _digest(batches: Batches) -> Batches:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """`scan`'s result as counts, digest of the base spans and a list of all spans."""
-    return map_arrow(found, _digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, "
+    """`scan`'s result as counts, digest of the base spans and a list of all spans; the id, of any type, is called doc_id."""
+    kind = found.schema[0].dataType.simpleString()
+    return map_arrow(found, _digest, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, "
                                      "spans string")
