@@ -524,6 +524,13 @@ def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.row_sets(_near(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def dup_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every labelled document, the ids of all its near duplicates."""
+    named = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    return neardup.duplicates_of(_near(spark, sf_dir), named).select(
+        F.col("id").alias("doc_id"), F.col("similar_id").alias("duplicate_id"), F.round("distance", 6).alias("distance"))
+
+
 def dup_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return neardup.flag_duplicates(rows, "doc_id", _near(spark, sf_dir)).drop("set_id")
@@ -584,5 +591,6 @@ QUERIES: dict[str, Query] = {
     "neardup_between": neardup_between,
     "neardup_rows": neardup_rows,
     "dup_groups": dup_groups,
+    "dup_list": dup_list,
     "dup_flags": dup_flags,
 }

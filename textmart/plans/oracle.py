@@ -397,6 +397,8 @@ SQL: dict[str, str] = {
     "dup_groups": f"""{DUPLICATES}, all_sets AS (SELECT min(doc_id) AS set_id, w FROM docs GROUP BY w)
         SELECT found.doc_id, set_id, n AS duplicate_count
         FROM found JOIN docs ON found.doc_id = docs.doc_id JOIN all_sets ON docs.w = all_sets.w""",
+    "dup_list": f"""WITH {WORD_SETS}, {_pairs("docs", "doc_id")}
+        SELECT a AS doc_id, b AS duplicate_id, round(distance, 6) AS distance FROM pairs WHERE a IN (SELECT doc_id FROM labels)""",
     "dup_flags": f"""{DUPLICATES} SELECT d.doc_id, d.lang, d.source, coalesce(n, 0) AS duplicate_count,
         CASE WHEN n IS NULL THEN 0 ELSE 1 END AS is_duplicate FROM documents d LEFT JOIN found ON d.doc_id = found.doc_id""",
 }
