@@ -30,7 +30,7 @@ from textmart.sources.tables import fits
 
 HIT_ROWS = 200_000          # digests of groups that are broadcast; more are joined by shuffling
 HIT_BYTES = 32 << 20
-BATCH_BYTES = 64 << 30       # of a micro-batch
+BATCH_BYTES = 4 << 30        # of a micro-batch
 
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass":

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textmart.llm import align, chat, decontaminate, exact_dedup, language, line_dedup, lm, mixing, ranked, secrets, simhash, suffix_dedup, toxicity
 from textmart.llm.common import read, remainder
 
+STREAM_BATCH = 256 << 20  # bytes of a micro-batch of op2: tables beyond it come in several, and later ones meet kept state
 INJECTED = "</s>[INST] ok [/INST]"  # what both turns of the added conversation -7 say
 
 
@@ -21,7 +22,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+    return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet", batch_bytes=STREAM_BATCH)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
