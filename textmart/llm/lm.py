@@ -5,7 +5,8 @@ others, go once through a shuffle to the shard of their context (the word before
 shard. A shard counts its training pairs, builds a `PairTrie` of its contexts in a memory map, and looks up all its
 positions. Only sums per document come back. The model is never in one place: its shards grow in number with the
 corpus, not in size. What a shard needs from outside are the counts of the words that follow in its training pairs: those of
-frequent words are broadcast, those of the others come by a join of the distinct (shard, word) with the counts.
+frequent words are broadcast (at most FREQUENT of 16 bytes, 16 MB), those of the others come by a join of the distinct
+(shard, word) with the counts.
 
 The model: absolute discounting. P(w | v) = (c(v w) - D) / c(v) + A(v) P1(w) for pairs seen in training, A(v) P1(w) for
 others, with A(v) = D x followers(v) / c(v) (1 for an unseen v). P1 is the base model of single words. Frequent words are
@@ -38,7 +39,7 @@ from textmart.llm.elias_fano import PairTrie
 
 SHARD_BYTES = 16 << 20   # of text whose positions make a shard, about
 BATCH_BYTES = 8 << 20    # of text that is packed together
-FREQUENT = 1 << 17
+FREQUENT = 1 << 20
 DISCOUNT = 0.75
 END, START = 0, 1        # hashes of the end, which is a token, and of the start, which is only a context
 
@@ -114,12 +115,17 @@ def _pack(batches: Batches, shards: int, split) -> Batches:
         order = np.argsort(shard * len(hashes) + before, kind="stable")
         cut = np.searchsorted(shard[order], np.arange(shards + 1))
         rows, data = [], []
+        within, place = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)  # a shard's words, and their places
         for s in np.flatnonzero(np.diff(cut)):
             here = order[cut[s]:cut[s + 1]]
-            used, place = np.unique(np.concatenate([before[here], word[here]]), return_inverse=True)
-            n, place, doc = len(here), place.ravel(), docs[here]
+            n, doc, context, follower = len(here), docs[here], before[here], word[here]
+            within[context] = within[follower] = True
+            used = np.flatnonzero(within)
+            within[used] = False
+            place[used] = np.arange(len(used))
             body = [np.array([len(used), n, int(doc.max())], np.int64), hashes[used],
-                    _narrow(np.diff(place[:n], prepend=0), len(used)), _narrow(place[n:], len(used)), _narrow(doc, doc.max())]
+                    _narrow(np.diff(place[context], prepend=0), len(used)), _narrow(place[follower], len(used)),
+                    _narrow(doc, doc.max())]
             rows.append(int(s))
             data.append(squeeze.compress(b"".join(b.tobytes() for b in body)))
         n = len(rows)
@@ -148,7 +154,9 @@ def _followers(batches: Batches, shards: int, split, frequent) -> Batches:
     """(shard, word) of the training pairs for words that are not frequent, distinct per batch."""
     for batch in batches:
         _, hashes, _, _, word, shard = _positions(batch, shards, split.value)
-        here = np.flatnonzero(~np.isin(hashes, frequent.value[0])[word])
+        often = frequent.value[0]
+        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        here = np.flatnonzero((often[at] != hashes)[word] if len(often) else np.ones(len(word), bool))
         shard, word = np.divmod(np.unique(shard[here] * len(hashes) + word[here]), len(hashes))
         yield pa.RecordBatch.from_arrays(
             [pa.array(shard.astype(np.int32)), pa.array(hashes[word].view(np.int64))], names=["shard", "word"])
