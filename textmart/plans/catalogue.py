@@ -16,7 +16,7 @@ from textmart.functions import text as tx
 from textmart.operators import classify, frequency, ids, neardup, resolve, vocabulary
 from textmart.operators.profile import profile
 from textmart.plans import mart
-from textmart.sources import manifest, tables
+from textmart.sources import manifest, notation, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -244,6 +244,26 @@ def date_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", dates.standardize_date(written, ["dd/MM/yyyy"]).alias("order_day"))
 
 
+def _written_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of orders, written in a way that depends on the priority; nobody says how."""
+    ways = {"1": "yyyy-MM-dd HH:mm:ss", "2": "dd/MM/yyyy", "3": "M-d-yyyy", "4": "d MMMM yyyy"}
+    priority, written = F.substring("o_orderpriority", 1, 1), F.date_format("o_orderdate", "d.M.yyyy")
+    for key, way in ways.items():
+        written = F.when(priority == key, F.date_format("o_orderdate", way)).otherwise(written)
+    return table(spark, sf_dir, "orders").select("o_orderkey", written.alias("written"))
+
+
+def date_notation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in five notations, found from the column itself."""
+    rows = _written_days(spark, sf_dir)
+    found = notation.learn(rows, ["written"])["written"]
+    return rows.select("o_orderkey", _day(notation.read(F.col("written"), found)).alias("order_day"))
+
+
+def date_notation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notation.notations(_written_days(spark, sf_dir), ["written"]).withColumnRenamed("first", "comes_first").drop("column")
+
+
 def recode_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.col("o_orderstatus")
     return table(spark, sf_dir, "orders").where((status == "F") | (status == "O")).select(
@@ -544,6 +564,8 @@ QUERIES: dict[str, Query] = {
     "clean_text_a_wide": _cleaned(fixed.CLEAN_REPORT_WIDE),
     "clean_text_b": _cleaned(fixed.CLEAN_NGRAM, tidy=True),
     "date_standardize": date_standardize,
+    "date_notation": date_notation,
+    "date_notation_report": date_notation_report,
     "recode_case": recode_case,
     "group_normalize": group_normalize,
     "distinct_keys": distinct_keys,

@@ -282,6 +282,28 @@ SQL: dict[str, str] = {
     "clean_text_a": f"SELECT doc_id, {CLEAN_A} AS cleaned FROM documents",
     "clean_text_a_wide": f"SELECT doc_id, {CLEAN_WIDE} AS cleaned FROM documents",
     "clean_text_b": f"SELECT doc_id, {CLEAN_B} AS cleaned FROM documents",
+    "date_notation": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_day FROM orders",
+    "date_notation_report": """
+        WITH cells AS (
+            SELECT CASE substr(o_orderpriority, 1, 1)
+                       WHEN '1' THEN '-' WHEN '2' THEN '/' WHEN '3' THEN '-' WHEN '4' THEN ' ' ELSE '.' END AS separator,
+                   CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN 'year_first'
+                        WHEN substr(o_orderpriority, 1, 1) = '4' THEN 'named'
+                        WHEN day(o_orderdate) = month(o_orderdate) THEN 'same'
+                        WHEN day(o_orderdate) <= 12 THEN 'either'
+                        WHEN substr(o_orderpriority, 1, 1) = '3' THEN 'month_first'
+                        ELSE 'day_first' END AS kind
+            FROM orders),
+        counted AS (
+            SELECT separator, count(*) AS cells, count_if(kind = 'year_first')::BIGINT AS year_first,
+                   count_if(kind = 'named')::BIGINT AS named, count_if(kind = 'day_first')::BIGINT AS day_first,
+                   count_if(kind = 'month_first')::BIGINT AS month_first, count_if(kind = 'same')::BIGINT AS same,
+                   count_if(kind = 'either')::BIGINT AS either, 0::BIGINT AS unread
+            FROM cells GROUP BY separator)
+        SELECT *, CASE WHEN day_first > 0 AND month_first > 0 THEN 'mixed' WHEN day_first > 0 THEN 'day'
+                       WHEN month_first > 0 THEN 'month' END AS comes_first,
+               CASE WHEN (day_first > 0) = (month_first > 0) THEN either ELSE 0 END AS open
+        FROM counted""",
     "date_standardize": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_day FROM orders",
     "recode_case": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 10 ELSE 11 END AS term
         FROM orders WHERE o_orderstatus IN ('F', 'O')""",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmart.functions.dates import standardize_date
+from textmart.sources import notation
 from textmart.sources.harmonize import clean_cells, harmonize, missing_to_null, source_cells, union_all
 
 
@@ -78,14 +79,16 @@ def read_files(spark: SparkSession, paths: Sequence[str], multi_line: bool = Fal
 
 def ingest(groups: Sequence[tuple[SourceGroup, DataFrame]], schema: T.StructType,
            aliases: Mapping[str, Sequence[str]] | None = None, required: Sequence[str] = (),
-           dates: Mapping[str, Sequence[str]] | None = None, on_unfit: str = "raise") -> DataFrame:
+           dates: Mapping[str, Sequence[str] | None] | None = None, on_unfit: str = "raise",
+           prefer: str | None = None) -> DataFrame:
     """One clean table of `schema` from groups and their rows.
 
     Per group: whitespace in cells is cleaned, rows whose source cell of a `required` column is missing
     are dropped, columns are renamed and typed, missing-value cells become null, `dates` (column to
-    extra formats) are rewritten as yyyy-MM-dd and the group's constants are filled in. A number or date
-    that cannot be read is an error, or with on_unfit="null" null in a row that stays; `harmonize.rejects`
-    lists such cells.
+    extra formats) are rewritten as yyyy-MM-dd and the group's constants are filled in. Where a column's formats are
+    None, one more pass over the group finds how its cells are written (`notation`), and `prefer` reads those that may be
+    day or month first. A number or date that cannot be read is an error, or with on_unfit="null" null in a row that
+    stays; `harmonize.rejects` lists such cells.
     """
     tables = []
     for group, df in groups:
@@ -94,8 +97,13 @@ def ingest(groups: Sequence[tuple[SourceGroup, DataFrame]], schema: T.StructType
         for column in required:
             cleaned = cleaned.where(cells[column].isNotNull())
         table = missing_to_null(harmonize(cleaned, schema, aliases, on_unfit))
+        found = notation.learn(table, [c for c, formats in (dates or {}).items() if formats is None])
         for column, formats in (dates or {}).items():
-            table = table.withColumn(column, standardize_date(F.col(column), formats, on_unfit))
+            if formats is None:
+                day = F.date_format(notation.read(F.col(column), found[column], prefer, on_unfit), "yyyy-MM-dd")
+            else:
+                day = standardize_date(F.col(column), formats, on_unfit)
+            table = table.withColumn(column, day)
         types = {f.name: f.dataType for f in schema.fields}
         for column, value in group.constants.items():
             table = table.withColumn(column, F.lit(value).cast(types[column]))
