@@ -20,6 +20,27 @@ def test_fuzzy_pairs_are_those_within_one_edit(spark):
     assert got == {(1, "anna", "anna", 0), (1, "anna", "ana", 1), (1, "anna", "hanna", 1), (1, "anna", "onna", 1), (1, "", "x", 1)}
 
 
+def test_variants_of_many_names_are_split_on_both_sides(spark):
+    def names(n, mark):
+        return spark.range(n).selectExpr("1L AS b", f"concat('{mark}', lpad(id, 6, '0')) AS k")
+
+    # All names of the group are one edit from "x": those of one side meet those of the other on that variant.
+    def one_letter(start, n):
+        return spark.createDataFrame([(1, "x" + chr(start + i)) for i in range(n)] + [(1, "x"), (None, "x")], "b long, k string")
+
+    left, right = one_letter(0x4E00, 130), one_letter(0x4E00 + 100, 90)
+    whole, split = (sorted(tuple(r) for r in resolve.fuzzy_pairs(left, right, ["b"], "k", n).collect()) for n in (20_000, 25))
+    assert whole == split and len(whole) == 131 * 91 and sum(r[3] == 0 for r in split) == 31
+    assert resolve.fuzzy_pairs(names(50, "a"), names(50, "b"), ["b"], "k", 1).count() == 50
+
+
+def test_a_variant_of_a_hundred_thousand_names(spark):
+    left = spark.createDataFrame([(1, "x" + chr(0x10000 + i)) for i in range(100_000)], "b long, k string")
+    right = spark.createDataFrame([(1, "x"), (1, "y"), (1, "xyz")], "b long, k string")
+    counted = resolve.fuzzy_pairs(left, right, ["b"], "k").groupBy("other_key", "edits").count().collect()
+    assert [tuple(r) for r in counted] == [("x", 1, 100_000)]
+
+
 @pytest.fixture()
 def tables(spark):
     roster = spark.createDataFrame([

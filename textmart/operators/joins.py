@@ -13,6 +13,7 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 10_000
 SALTS = 200
+BLOCK_ROWS = 20_000
 
 
 def _small(hot: DataFrame) -> DataFrame:
@@ -72,3 +73,25 @@ def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "lef
     repeated = with_share(table, "_k_", "_k_share", lambda df: F.sequence(F.lit(0), F.lit(SALTS - 1)))
     matches.append(F.col("_share") == F.col("_k_share"))
     return dealt.join(repeated, matches, how).select(*rows.columns, *extra)
+
+
+def meet(left: DataFrame, right: DataFrame, on: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Inner join of two tables that share no columns but `on`, whose keys may have very many rows on both sides.
+
+    Rows of a key that a side has more than `block_rows` of are dealt into blocks by the hash of the whole row, and each
+    block of one side meets each of the other in a group of its own. A row is repeated once for every block of the other
+    side, so only rows of such keys are. Null keys meet nothing. Both sides are read twice.
+    """
+    keys = list(on)
+    sides = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).union(right.select(*keys, F.lit(0), F.lit(1)))
+    counted = sides.groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    large = counted.where((F.greatest("_l", "_r") > block_rows) & (F.least("_l", "_r") > 0))
+    blocks = materialize(large.select(
+        *keys, *[F.ceil(F.col(s) / block_rows).cast("int").alias(f"_blocks{s}") for s in ("_l", "_r")]), "meetings")
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        share = F.pmod(F.xxhash64(*df.columns), F.coalesce(f"_blocks{own}", F.lit(1))).cast("int")
+        every = F.sequence(F.lit(0), F.coalesce(f"_blocks{other}", F.lit(1)) - 1)
+        return lookup(df, blocks, keys).select(*df.columns, share.alias(f"_block{own}"), F.explode(every).alias(f"_block{other}"))
+
+    return dealt(left, "_l", "_r").join(dealt(right, "_r", "_l"), [*keys, "_block_l", "_block_r"]).drop("_block_l", "_block_r")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textmart.functions import fixed_values as fixed
 from textmart.functions import text as tx
-from textmart.operators.joins import lookup
+from textmart.operators.joins import BLOCK_ROWS, lookup, meet
 from textmart.sources.tables import materialize
 
 
@@ -21,11 +21,12 @@ def unique_mapping(df: DataFrame, key: str, value: str) -> DataFrame:
     return seen.where("_known = 0 OR _known = _rows AND _low = _high").select(key)
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], key: str) -> DataFrame:
+def fuzzy_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Distinct pairs of keys at most one edit apart: (*on, key, other_key, edits).
 
     Both sides are reduced to distinct keys per block `on`. Then they meet on a shared
-    one-deletion variant, so no block is paired off in full.
+    one-deletion variant, so no block is paired off in full. Variants of more than `block_rows` keys are
+    split on both sides (`joins.meet`).
     """
     on = list(on)
 
@@ -35,7 +36,7 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], key: str)
 
     edits = F.levenshtein("_left", "_right", 1)
     return (
-        variants(left, "_left").join(variants(right, "_right"), [*on, "_variant"])
+        meet(variants(left, "_left"), variants(right, "_right"), [*on, "_variant"], block_rows)
         .where(edits >= 0)
         .select(*on, F.col("_left").alias(key), F.col("_right").alias("other_key"), edits.alias("edits"))
         .distinct()
