@@ -314,6 +314,27 @@ def test_mixing_meets_targets_like_plain_projected_gradient(spark, targets):
     assert loss(r) <= loss(plain) + 1e-6 and loss(r) < 0.05
 
 
+def test_mixing_meets_targets_that_need_rates_of_zero(spark):
+    # Three kinds of texts: of domain 0, of either one, of domain 1. Without the limit at 0 the first kind's rate is negative.
+    docs = small_docs(spark, [(i, ["WORD!! " * 9, "WORD!! word " * 5, "word " * 10][i % 3], None) for i in range(120)])
+    labels = spark.createDataFrame([(i, i // 3 % 2 if i % 3 == 1 else i % 3 // 2) for i in range(120)], "doc_id long, quality int")
+    mixture = mixing.fit(docs, labels, {"1": 0.95, "0": 0.05})
+    found = mixing.mix(docs, mixture, posteriors_col="p").select(mixing.tokens(F.col("text")).alias("n"), "p", "rate").collect()
+    p, n, r = (np.array([x[c] for x in found], float) for c in ("p", "n", "rate"))
+    assert (r[n > 0] == 0).any() and len(mixture.steps) < mixing.STEPS and mixture.missed <= mixing.CLOSE
+    assert np.allclose((p * n[:, None]).T @ r / n.sum(), [0.05, 0.95], atol=1e-8)
+
+
+def test_mixing_tells_of_targets_out_of_reach(spark):
+    docs = small_docs(spark, [(i, "word word", None) for i in range(40)])  # all alike: no rates can tell them apart
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    with pytest.warns(UserWarning, match="missed by"):
+        mixture = mixing.fit(docs, labels, {"1": 1.0})
+    assert abs(mixture.missed - 0.5) < 1e-6 and len(mixture.steps) < mixing.STEPS
+    with pytest.warns(UserWarning, match="after 0 steps"):
+        assert mixing.fit(docs, labels, {"1": 1.0}, steps=0).totals == [40.0, 40.0]
+
+
 def test_mixing_without_labels_or_rows(spark):
     rows, docs, labels = mixed(spark)
     mixture = mixing.fit(docs, labels.limit(0))

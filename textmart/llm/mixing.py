@@ -7,7 +7,10 @@ sum of r x tokens x p, come to their targets: least squares by projected gradien
 step is an aggregate of one number per domain over the documents; it moves a document's rate by its posteriors times
 these numbers and cuts it off at 0, so the rates need not be stored: they are an expression over the posteriors. In
 variables scaled by the square root of the tokens and with residuals weighted by the inverse of sum tokens x p p', the
-step length is 1.
+step length is 1. That sum goes over the documents whose rates are above 0, as only they can give way; where such a step
+does not lower the loss it is taken back, and one with the sum over all documents, which cannot overshoot, is taken.
+Steps end when all targets are met, or when none lowers the loss (no rates meet these targets), or after `steps` of them;
+`Mixture.missed` is what is left, and unless it is nothing there is a warning.
 
 Only numbers per domain, feature and bin come to the driver; at most DOMAINS domains. Features and posteriors are
 expressions on the text, so `mix` adds columns to any documents without a join; whole texts count. Cases: a null text
@@ -19,6 +22,7 @@ the others are scaled up; a domain without a target has target 0. Without labels
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +34,7 @@ TARGETS = {"1": 0.8, "0": 0.2}  # shares of the tokens by quality label
 DOMAINS = 64
 BINS = 12
 STEPS = 40
+PROGRESS = 1e-6  # of the loss: less is no progress
 CLOSE = 1e-9     # of all tokens: largest residual at which steps end
 
 _TOKEN = r"[^\x20\x09-\x0D]+"
@@ -125,6 +130,7 @@ class Mixture:
     steps: list[list[float]]      # per gradient step, a number per domain
     totals: list[float]           # expected tokens per domain with the fitted rates
     targets: list[float]
+    missed: float = 0.0           # largest distance of a total from its target, as a share of all tokens
 
     def rate(self, posteriors: Column) -> Column:
         rate = F.lit(1.0)
@@ -160,13 +166,39 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     square = soft.agg(*[F.sum(F.col("n") * p[i] * p[j]) for i in domains for j in domains]).first()
     square = [[square[i * len(domains) + j] for j in domains] for i in domains]
     mixture = Mixture(classifier, [], [], goal)
-    while True:
-        rate = mixture.rate(F.col("p"))
-        mixture.totals = [float(v) for v in soft.agg(*[F.sum(F.col("n") * rate * x) for x in p]).first()]
+
+    def measure() -> tuple[list[float], list[list[float]]]:
+        """Residuals, and sum n p p' over the documents whose rates are above 0."""
+        rated = soft.select("n", "p", mixture.rate(F.col("p")).alias("rate"))
+        above = F.when(F.col("rate") > 0, F.col("n")).otherwise(0)
+        sums = rated.agg(*[F.sum(F.col("n") * F.col("rate") * x) for x in p],
+                         *[F.sum(above * p[i] * p[j]) for i in domains for j in domains]).first()
+        mixture.totals = [float(v) for v in sums[:len(domains)]]
         residual = [a - b for a, b in zip(mixture.totals, goal)]
-        if len(mixture.steps) >= steps or max(map(abs, residual)) <= CLOSE * all_tokens:
-            return mixture
-        mixture.steps.append(_solve(square, residual))
+        mixture.missed = max(map(abs, residual)) / all_tokens
+        rest = sums[len(domains):]
+        return residual, [[float(rest[i * len(domains) + j]) for j in domains] for i in domains]
+
+    def loss(residual: list[float]) -> float:
+        return sum(r * g for r, g in zip(residual, _solve(square, residual)))
+
+    residual, active = measure()
+    careful = False  # the step by all documents never overshoots
+    while mixture.missed > CLOSE and len(mixture.steps) < steps:
+        mixture.steps.append(_solve(square if careful else active, residual))
+        before, (found, among) = loss(residual), measure()
+        if loss(found) < before * (1 - PROGRESS):
+            residual, active, careful = found, among, False
+            continue
+        mixture.steps.pop()
+        measure()
+        if careful:
+            break
+        careful = True
+    if mixture.missed > CLOSE:
+        warnings.warn(f"mixing: a target is missed by {mixture.missed:.3g} of all tokens after {len(mixture.steps)} steps",
+                      stacklevel=2)
+    return mixture
 
 
 def mix(docs: DataFrame, mixture: Mixture, text_col: str = "text", rate_col: str = "rate",
