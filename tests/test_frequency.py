@@ -67,3 +67,12 @@ def test_hashed_tfidf_agrees_with_terms_when_nothing_collides(docs):
 
 def test_collisions_merge_words(docs):
     assert {r.term_index for r in frequency.hashed_ranking(docs, frequency.report_words(F.col("text")), 2).collect()} == {0, 1}
+
+
+def test_ngrams_are_made_without_an_array_of_all_prefixes(spark):
+    df = spark.createDataFrame([("a b c a b c",), ("a b",), (None,)], "text string")
+    counted = frequency.ngram_frequency(df, F.split("text", " "))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan and "concat_ws" in plan
+    assert dict(counted.collect()) == {
+        "a": 2, "a b": 2, "a b c": 2, "b": 1, "b c": 1, "b c a": 1, "c": 1, "c a": 1, "c a b": 1}

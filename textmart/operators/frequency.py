@@ -40,12 +40,20 @@ def ngram_words(text: Column, stop_words: Iterable[str] = ()) -> Column:
 
 
 def ngram_frequency(df: DataFrame, words: Column, size: int = fixed.NGRAM_SIZE) -> DataFrame:
-    """How often each n-gram prefix occurs: (ngram, n)."""
-    return (
-        df.select(words.alias("words"))
-        .select(F.explode(tx.ngram_prefixes(F.col("words"), size)).alias("ngram"))
-        .groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
-    )
+    """How often each n-gram prefix occurs: (ngram, n).
+
+    Windows and their prefixes are rows, so that their texts are made by compiled code; no array of all prefixes is built.
+    """
+    windows = _windows(df.select(words.alias("words")), size)
+    prefixes = [F.col("w0"), *[F.concat_ws(" ", *[F.col(f"w{i}") for i in range(n)]) for n in range(2, size + 1)]]
+    return windows.select(F.explode(F.array(*prefixes)).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _windows(words: DataFrame, size: int) -> DataFrame:
+    """Every full window of `size` of the `words`: (w0, w1, ...)."""
+    starts = F.slice("words", F.lit(1), F.greatest(F.size("words") - (size - 1), F.lit(0)))
+    return words.select("words", F.posexplode(starts).alias("at", "w0")).select(
+        "w0", *[F.get("words", F.col("at") + i).alias(f"w{i}") for i in range(1, size)])
 
 
 def top_frequent(rows: DataFrame, key: Column, code: Column, k: int, name: str) -> DataFrame:
