@@ -76,3 +76,18 @@ def test_ngrams_are_made_without_an_array_of_all_prefixes(spark):
     assert "flatten" not in plan and "concat_ws" in plan
     assert dict(counted.collect()) == {
         "a": 2, "a b": 2, "a b c": 2, "b": 1, "b c": 1, "b c a": 1, "c": 1, "c a": 1, "c a b": 1}
+
+
+def test_longer_ngrams_are_counted_after_frequent_beginnings_alone(spark, monkeypatch):
+    text = " ".join(f"x{i}" for i in range(200))
+    df = spark.createDataFrame([(text,), (text,), ("a a a a a a",)], "text string")
+    kept, write = [], frequency.materialize
+
+    def noted(table, label):
+        table = write(table, label)
+        kept.extend([table.count()] if label == "code-counts" else [])
+        return table
+
+    monkeypatch.setattr(frequency, "materialize", noted)
+    assert [tuple(r) for r in frequency.top_ngrams(df, F.split("text", " "), 2).collect()] == [("a", 4), ("a a", 4)]
+    assert sum(kept) < 210

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,19 +85,20 @@ def top_frequent(rows: DataFrame, key: Column, code: Column, k: int, name: str)
 def top_ngrams(df: DataFrame, words: Column, k: int, size: int = fixed.NGRAM_SIZE) -> DataFrame:
     """The k most frequent n-gram prefixes: (ngram, n), as `ngram_frequency` counts them.
 
-    The words of the texts are written down once. Texts of n-grams are made for the frequent ones alone.
+    The words of the texts are written down once. An n-gram occurs no more often than what it begins with, and comes after
+    it in the order of texts: one word more is counted only after the k most frequent of those so far.
     """
-    words = materialize(df.select(words.alias("words")), "ngram-words").where(F.size("words") >= size)
-    starts = F.slice("words", F.lit(1), F.size("words") - (size - 1))
-    windows = words.select("words", F.posexplode(starts).alias("at", "w0")).select(
-        "w0", *[F.get("words", F.col("at") + i).alias(f"w{i}") for i in range(1, size)])
-    rows = windows.select("*", F.explode(F.lit(list(range(1, size + 1)))).alias("length"))
-
-    def of_length(made: Callable[..., Column]) -> Column:
-        return F.coalesce(*[F.when(F.col("length") == n, made(*[F.col(f"w{i}") for i in range(n)])) for n in range(1, size + 1)])
-
-    # Words hold no space: a text and its words stand for each other.
-    return top_frequent(rows, of_length(lambda *w: F.concat_ws(" ", *w)), of_length(F.xxhash64), k, "ngram")
+    windows = _windows(materialize(df.select(words.alias("words")), "ngram-words"), size)
+    rows, found = windows, None
+    for length in range(1, size + 1):
+        # Words hold no space: a text and its words stand for each other.
+        first = [F.col(f"w{i}") for i in range(length)]
+        if found is not None:
+            begun = windows.withColumn("_begin", F.concat_ws(" ", *first[:-1]))
+            rows = lookup(begun, found.select(F.col("ngram").alias("_begin")), ["_begin"], "inner")
+        level = top_frequent(rows, F.concat_ws(" ", *first), F.xxhash64(*first), k, "ngram")
+        found = materialize(top_k(level if found is None else found.unionByName(level), "n", "ngram", k), "top-ngrams")
+    return top_k(found, "n", "ngram", k)
 
 
 def document_terms(df: DataFrame, keep: Sequence[str], words: Column) -> DataFrame:
