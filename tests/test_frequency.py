@@ -91,3 +91,13 @@ def test_longer_ngrams_are_counted_after_frequent_beginnings_alone(spark, monkey
     monkeypatch.setattr(frequency, "materialize", noted)
     assert [tuple(r) for r in frequency.top_ngrams(df, F.split("text", " "), 2).collect()] == [("a", 4), ("a a", 4)]
     assert sum(kept) < 210
+
+
+def test_tfidf_is_the_same_with_few_and_many_terms(docs, monkeypatch):
+    words = frequency.report_words(F.col("text"))
+    whole = sorted(tuple(r) for r in frequency.tfidf_terms(docs, "id", words).collect())
+    for keys in (1, 4):
+        monkeypatch.setattr(frequency.joins, "BROADCAST_ROWS", keys)
+        found = frequency.tfidf_terms(docs, "id", words)
+        assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(tuple(r) for r in found.collect()) == whole

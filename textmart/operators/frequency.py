@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textmart.functions import fixed_values as fixed
 from textmart.functions import text as tx
+from textmart.operators import joins
 from textmart.operators.joins import join_weighted, lookup
 from textmart.sources.tables import materialize
 
@@ -149,7 +150,7 @@ def tfidf_terms(df: DataFrame, id_col: str, words: Column) -> DataFrame:
     terms = materialize(document_terms(df, [id_col], words), "document-terms")
     frequencies = _frequencies(terms)
     scored = frequencies.where("term is not null").select("term", "documents", _idf(frequencies).alias("idf"))
-    return join_weighted(terms.where("term is not null"), scored, "term", "documents").select(
+    return join_weighted(terms.where("term is not null"), scored, "term", "documents", joins.BROADCAST_ROWS).select(
         id_col, "term", "tf", (F.col("tf") * F.col("idf")).alias("score"))
 
 
