@@ -93,6 +93,14 @@ def test_longer_ngrams_are_counted_after_frequent_beginnings_alone(spark, monkey
     assert sum(kept) < 210
 
 
+def test_few_buckets_are_broadcast_whole_and_are_numbers(spark):
+    df = spark.createDataFrame([(i, f"a b c d{i} e{i}") for i in range(30)], "id long, text string")
+    found = frequency.hashed_terms(df, "id", F.split("text", " "), 50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Union" not in plan and "as string" not in plan
+    assert dict(found.dtypes)["term_index"] == "int"
+
+
 def test_tfidf_is_the_same_with_few_and_many_terms(docs, monkeypatch):
     words = frequency.report_words(F.col("text"))
     whole = sorted(tuple(r) for r in frequency.tfidf_terms(docs, "id", words).collect())

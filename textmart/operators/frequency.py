@@ -116,7 +116,7 @@ def document_terms(df: DataFrame, keep: Sequence[str], words: Column) -> DataFra
         end = F.coalesce(F.get(starts, nth + 1), F.size(w))
         return F.struct(F.get(w, i).alias("term"), (end - i).alias("tf"))
 
-    document = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("tf")))
+    document = F.array(F.struct(F.lit(None).alias("term"), F.lit(1).alias("tf")))
     return (
         df.select(*keep, F.sort_array(words).alias("_words"))
         .select("*", F.when(F.size(w) > 0, run_starts).when(F.size(w) == 0, F.array().cast("array<int>")).alias("_starts"))
@@ -166,9 +166,9 @@ def _indexed(df: DataFrame) -> DataFrame:
 
 def hashed_ranking(df: DataFrame, words: Column, buckets: int = fixed.HASH_BUCKETS) -> DataFrame:
     """`tfidf_ranking` of hash buckets instead of words: (term_index, score). No vectors are built."""
-    return _indexed(tfidf_ranking(df, hash_buckets(words, buckets).cast("array<string>")))
+    return _indexed(tfidf_ranking(df, hash_buckets(words, buckets).cast("array<int>")))
 
 
 def hashed_terms(df: DataFrame, id_col: str, words: Column, buckets: int = fixed.HASH_BUCKETS) -> DataFrame:
     """Each document's buckets: (id, term_index, tf, score)."""
-    return _indexed(tfidf_terms(df, id_col, hash_buckets(words, buckets).cast("array<string>")))
+    return _indexed(tfidf_terms(df, id_col, hash_buckets(words, buckets).cast("array<int>")))
