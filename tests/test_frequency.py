@@ -105,7 +105,7 @@ def test_tfidf_is_the_same_with_few_and_many_terms(docs, monkeypatch):
     words = frequency.report_words(F.col("text"))
     whole = sorted(tuple(r) for r in frequency.tfidf_terms(docs, "id", words).collect())
     for keys in (1, 4):
-        monkeypatch.setattr(frequency.joins, "BROADCAST_ROWS", keys)
+        monkeypatch.setattr(frequency.joins, "HOT_KEYS", keys)
         found = frequency.tfidf_terms(docs, "id", words)
         assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
         assert sorted(tuple(r) for r in found.collect()) == whole

@@ -150,7 +150,7 @@ def tfidf_terms(df: DataFrame, id_col: str, words: Column) -> DataFrame:
     terms = materialize(document_terms(df, [id_col], words), "document-terms")
     frequencies = _frequencies(terms)
     scored = frequencies.where("term is not null").select("term", "documents", _idf(frequencies).alias("idf"))
-    return join_weighted(terms.where("term is not null"), scored, "term", "documents", joins.BROADCAST_ROWS).select(
+    return join_weighted(terms.where("term is not null"), scored, "term", "documents", joins.HOT_KEYS).select(
         id_col, "term", "tf", (F.col("tf") * F.col("idf")).alias("score"))
 
 
